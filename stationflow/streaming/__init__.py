@@ -1,0 +1 @@
+"""Empty on purpose: all inputs are complete files of finished days."""
