@@ -31,20 +31,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labor_point(k):
+    """Six points, three in each of two rows."""
+    spots = [f"LT_LABOR:POINT:{i % 3}:{0 if i < 3 else 1}" for i in range(6)]
+    return F.element_at(F.array(*map(F.lit, spots)), k % 6 + 1)
+
+
 def station_event(ev: DataFrame) -> DataFrame:
     names = {"click": "arrived", "purchase": "triggerGo", "view": "release", "signup": "ppReady"}
-    kind = F.lit("other")
-    for source, name in names.items():
-        kind = F.when(F.col("event_type") == source, name).otherwise(kind)
-    k = F.col("k") % 6
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    kind = F.coalesce(F.try_element_at(known, F.col("event_type")), F.lit("other"))
     return ev.select(
         "op_day",
         F.col("event_id").alias("row_id"),
         "ts",
         kind.alias("event_type"),
-        F.concat(F.lit("LT_LABOR:POINT:"), k % 3, F.lit(":"), F.when(k < 3, 0).otherwise(1)).alias(
-            "location_code"
-        ),
+        labor_point(F.col("k")).alias("location_code"),
         F.concat(F.lit("R"), F.col("user_id") % 4).alias("robot_id"),
         F.when(F.col("user_id") % 4 == 3, "A42").otherwise("K50").alias("robot_type"),
     )
@@ -187,8 +189,7 @@ def log_lines(ev: DataFrame) -> DataFrame:
     """
     labor = F.concat(F.lit("LABOR-"), F.col("k") % 6 + 1)
     station = F.when(F.col("k") % 11 == 0, "PORT-1").otherwise(labor)
-    k = F.col("k") % 6
-    point = F.concat(F.lit("LT_LABOR:POINT:"), k % 3, F.lit(":"), F.when(k < 3, 0).otherwise(1))
+    point = labor_point(F.col("k"))
     kind = F.col("event_type")
     name = (
         F.when(kind == "click", "CALLBACK_OF_ROBOT_REACH_STATION")

@@ -32,13 +32,13 @@ def storage_parts(code: Column) -> Column:
     )
 
 
-def labor_point(code: Column) -> Column:
-    """``<prefix>LABOR:POINT:x:y`` as struct(x, y), NULL if it is not one."""
-    parts = F.split(code, ":")
-    x = F.trim(F.try_element_at(parts, F.lit(3))).try_cast("int")
-    y = F.trim(F.try_element_at(parts, F.lit(4))).try_cast("int")
-    known = (
-        code.contains("LABOR") & code.contains("POINT") & (F.size(parts) >= 4)
-        & x.isNotNull() & y.isNotNull()
-    )
-    return F.when(known, F.struct(x.alias("x"), y.alias("y")))
+LABOR_POINT = r"^(?=.*LABOR)(?=.*POINT)[^:]*:[^:]*:\s*[+-]?\d+\s*:\s*[+-]?\d+\s*(:|$)"
+
+
+def is_labor_point(code: Column) -> Column:
+    """``<prefix>LABOR:POINT:x:y`` with whole numbers; one look at the code."""
+    return code.rlike(LABOR_POINT)
+
+
+def point_coordinate(code: Column, position: int) -> Column:
+    return F.trim(F.try_element_at(F.split(code, ":"), F.lit(position))).try_cast("int")

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
-
-
-def seconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
-
 
 def to_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts)
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def from_micros(micros: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", micros, F.expr(_EPOCH))
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    return (to_micros(end) - to_micros(start)) / F.lit(1e6)
 
 
 def minus_seconds(ts: Column, seconds: Column) -> Column:

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationflow import schemas as S
-from stationflow.functions.text import labor_point
+from stationflow.functions.text import is_labor_point, point_coordinate
 
 
 def station_points(events: DataFrame, per_day: bool = False) -> DataFrame:
     """Distinct labor points of the events, with their coordinates."""
     keys = ["op_day"] if per_day else []
+    code = F.col("location_code")
     return (
         events.select(*keys, "location_code")
         .distinct()
-        .withColumn("_p", labor_point(F.col("location_code")))
-        .where(F.col("_p").isNotNull())
-        .select(*keys, "location_code", "_p.x", "_p.y")
+        .where(is_labor_point(code))
+        .select(
+            *keys,
+            "location_code",
+            point_coordinate(code, 3).alias("x"),
+            point_coordinate(code, 4).alias("y"),
+        )
     )
 
 
