@@ -38,7 +38,7 @@ def hour_label(ts: Column) -> Column:
 
 def parse_iso(text: Column) -> Column:
     """Log time: the zone suffix is stripped, the wall clock is kept."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"[+-]\d{2}:\d{2}$", ""), "Z+$", "")
+    bare = F.regexp_replace(F.trim(text), r"Z*([+-]\d{2}:\d{2})?$", "")
     return F.coalesce(
         bare.try_cast("timestamp_ntz"), F.substring(bare, 1, 19).try_cast("timestamp_ntz")
     )

@@ -12,6 +12,7 @@ from stationflow.functions.times import floor_to, minus_seconds
 from stationflow.operators.overlap import active_at, bin_span, overlap_count
 from stationflow.operators.pairing import dwell_pairs
 from stationflow.operators.quantiles import exact_quantiles
+from stationflow.session import settle
 from stationflow.tables import Tables
 
 QUINTILES = {f"q{k}": k / 5 for k in range(6)}
@@ -114,6 +115,8 @@ def lifecycle_intervals(t: Tables) -> DataFrame:
         F.col("leg_start").alias("start_ts"),
         F.col("completed_ts").alias("end_ts"),
     )
+    if "shuttle_s" not in rows.columns:
+        return delivery
     shuttle = rows.where(F.col("shuttle_s") > 0).select(
         "op_day",
         F.lit("shuttle").alias("fleet"),
@@ -125,7 +128,10 @@ def lifecycle_intervals(t: Tables) -> DataFrame:
 
 def station_intervals(t: Tables) -> DataFrame:
     """Robot dwell at stations; for a fleet without any, each robot's whole span."""
-    events = _robot_events(t)
+    return _dwell_or_span(_robot_events(t))
+
+
+def _dwell_or_span(events: DataFrame) -> DataFrame:
     dwell = dwell_pairs(events, carry=["fleet"]).select(*FLEET, "start_ts", "end_ts")
     spans = (
         events.groupBy(*FLEET, "robot_id")
@@ -139,19 +145,20 @@ def task_intervals(t: Tables) -> DataFrame:
     """On-task intervals: from lifecycle where a day has any, else from stations.
 
     ``source`` tells which. A lifecycle table without shuttle stages leaves the
-    shuttle fleet to the station intervals.
+    shuttle fleet to the station intervals. Only events of what is left are paired.
     """
-    stations = station_intervals(t).withColumn("source", F.lit("station"))
+    events = _robot_events(t)
     if t.lifecycle is None:
-        return stations
-    tasks = lifecycle_intervals(t).withColumn("source", F.lit("lifecycle"))
+        return _dwell_or_span(events).withColumn("source", F.lit("station"))
+    tasks = lifecycle_intervals(t)
     covered = tasks.select("op_day").distinct()
-    if "shuttle_s" in t.lifecycle.columns:
-        return tasks.unionByName(stations.join(covered, "op_day", "left_anti"))
-    rest = stations.join(
-        covered.withColumn("fleet", F.lit("delivery")), FLEET, "left_anti"
+    on = ["op_day"]
+    if "shuttle_s" not in t.lifecycle.columns:
+        on, covered = FLEET, covered.withColumn("fleet", F.lit("delivery"))
+    left = events.join(settle(covered), on, "left_anti")
+    return tasks.withColumn("source", F.lit("lifecycle")).unionByName(
+        _dwell_or_span(left).withColumn("source", F.lit("station"))
     )
-    return tasks.unionByName(rest)
 
 
 def fleet_sizes(t: Tables) -> DataFrame:

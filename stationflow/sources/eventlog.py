@@ -20,7 +20,7 @@ from stationflow.tables import Tables
 # ---------------------------------------------------------------------------
 # The log format, its event names and its JSON fields.
 ENTRY_START = r"(?=\[\d{4}-\d{2}-\d{2}T)"
-ENTRY = r"(?s)^\[([^\]]+)\]\[\d+\]\[[^\]]+\]\[[^\]]+\]\[[^\]]+\]\[([^\]]+)\]\s*-\s*(.+)"
+ENTRY = r"(?s)^\s*\[([^\]]+)\]\[\d+\]\[[^\]]+\]\[[^\]]+\]\[[^\]]+\]\[([^\]]+)\]\s*-\s*(.+)"
 FILE_DATE = r"(\d{4}-\d{2}-\d{2})"
 CALLBACK_SENT = "TASK_EXECUTION_CALLBACK_SENT"
 BUSINESS_CHANGE = "BUSINESS_TASK_DATA_CHANGE"
@@ -45,6 +45,7 @@ MESSAGE = """
 """
 # ---------------------------------------------------------------------------
 
+MARK = "\u0001"
 MULTILINE_SEPARATOR = "\n[20"
 
 
@@ -91,20 +92,23 @@ def parse_entries(lines: DataFrame) -> DataFrame:
     """
     chunks = lines.select(
         "file_name", "block", "line", F.posexplode(F.split("value", ENTRY_START)).alias("part", "chunk")
-    ).withColumn("chunk", F.regexp_replace("chunk", r"^\s+|\s+$", ""))
-    found = chunks.where(F.col("chunk").rlike(ENTRY))
-    json = F.regexp_extract("chunk", ENTRY, 3)
+    )
+    # One run of the pattern marks the three parts; text that is no entry stays whole.
+    marked = F.regexp_replace("chunk", F.lit(ENTRY), F.lit(f"$1{MARK}$2{MARK}$3"))
+    found = chunks.select(
+        "file_name", "block", "line", "part",
+        F.explode(F.array(F.split(marked, MARK, 3))).alias("field"),
+    ).where(F.size("field") == 3)
+    json = F.rtrim(F.col("field")[2], F.lit(" \t\r\n"))
     day = file_date(F.col("file_name"))
     return (
         found.select(
             day.alias("_day"),
             F.coalesce(day.cast("string"), "file_name").alias("label"),
             F.struct(F.col("file_name").alias("file"), "block", "line", "part").alias("row_id"),
-            parse_iso(F.regexp_extract("chunk", ENTRY, 1)).alias("ts"),
-            F.regexp_extract("chunk", ENTRY, 2).alias("event"),
-            F.from_json(
-                F.when(json.endswith("}"), json), PAYLOAD, {"columnNameOfCorruptRecord": "_bad"}
-            ).alias("payload"),
+            parse_iso(F.col("field")[0]).alias("ts"),
+            F.col("field")[1].alias("event"),
+            _parse_once(F.when(json.endswith("}"), json), PAYLOAD).alias("payload"),
         )
         .where(F.col("payload").isNotNull() & F.col("payload._bad").isNull())
         .select(
@@ -114,6 +118,11 @@ def parse_entries(lines: DataFrame) -> DataFrame:
     )
 
 
+def _parse_once(text: Column, schema: str) -> Column:
+    """Parsed JSON as a generated column, so that no filter repeats the parsing."""
+    return F.explode(F.array(F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad"})))
+
+
 def _ordinal(row_id: Column, part: Column | int) -> Column:
     """``row_id`` for the n-th row made from one entry."""
     n = F.lit(part) if isinstance(part, int) else part
@@ -136,7 +145,7 @@ def _callbacks(entries: DataFrame, *names: str) -> DataFrame:
     sent = entries.where(
         (F.col("event") == CALLBACK_SENT) & F.col("payload.data.name").isin(*names)
     )
-    return sent.withColumn("msg", F.from_json("payload.data.message", MESSAGE))
+    return sent.select("*", _parse_once(F.col("payload.data.message"), MESSAGE).alias("msg"))
 
 
 def _msg(name: str) -> Column:
