@@ -19,17 +19,17 @@ def robot_type_of(location: Column) -> Column:
     return F.when(F.lower(location).contains("haiflex"), "A42").otherwise("K50")
 
 
-def storage_parts(code: Column) -> Column:
-    """``HAI-aisle-bay-level-...[_suffix]`` as a struct, NULL if it is not one."""
-    parts = F.split(F.split(code, "_")[0], "-")
-    return F.when(
-        is_storage(code) & (F.size(parts) >= 4),
-        F.struct(
-            F.try_element_at(parts, F.lit(2)).alias("aisle"),
-            F.try_element_at(parts, F.lit(3)).alias("bay"),
-            F.try_element_at(parts, F.lit(4)).alias("level"),
-        ),
-    )
+STORAGE_LOCATION = r"^HAI[^_-]*-[^_-]*-[^_-]*-"
+
+
+def is_storage_location(code: Column) -> Column:
+    """``HAI-aisle-bay-level...`` before any ``_suffix``; one look at the code."""
+    return code.rlike(STORAGE_LOCATION)
+
+
+def storage_part(code: Column, position: int) -> Column:
+    """Part of a storage location: 2 is the aisle, 3 the bay, 4 the level."""
+    return F.split_part(F.substring_index(code, "_", 1), F.lit("-"), F.lit(position))
 
 
 LABOR_POINT = r"^(?=.*LABOR)(?=.*POINT)[^:]*:[^:]*:\s*[+-]?\d+\s*:\s*[+-]?\d+\s*(:|$)"

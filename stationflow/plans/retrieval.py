@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.functions.text import storage_parts
+from stationflow.functions.text import is_storage_location, storage_part
+from stationflow.session import settle
 from stationflow.tables import Tables
 
 DAY = ("op_day",)
@@ -20,19 +21,23 @@ MARKS = (5, 20)
 
 
 def _per_group(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
-    """Add aggregates of the whole group to each row, joined back by key."""
-    sums = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
+    """Add aggregates of the whole group to each row of an aggregated table.
+
+    They are joined back by key; without keys the table is settled first, so that
+    it is not worked out again for each aggregate.
+    """
     if by:
-        return df.join(sums, list(by))
-    return df.withColumns({n: sums.select(n).scalar() for n in aggs})
+        return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), list(by))
+    kept = settle(df)
+    return kept.withColumns({n: kept.agg(c.alias(n)).scalar() for n, c in aggs.items()})
 
 
 def storage_rows(lifecycle: DataFrame) -> DataFrame:
     """Tasks that start at a storage location, with aisle, bay and level."""
-    return (
-        lifecycle.withColumn("_s", storage_parts(F.col("source_loc")))
-        .where(F.col("_s").isNotNull())
-        .select(*lifecycle.columns, "_s.*")
+    source = F.col("source_loc")
+    parts = {"aisle": 2, "bay": 3, "level": 4}
+    return lifecycle.where(is_storage_location(source)).withColumns(
+        {name: storage_part(source, position) for name, position in parts.items()}
     )
 
 

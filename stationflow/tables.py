@@ -34,11 +34,16 @@ class Tables:
     given_type: str | None = None
     per_day: bool = False
 
+    @cached_property
+    def settings(self) -> DataFrame | None:
+        """The user settings, worked out once."""
+        return None if self.overrides is None else settle(self.overrides)
+
     @cached_property
     def stations(self) -> DataFrame:
         """Station numbers are global over all days; ``per_day`` numbers each day anew."""
         return settle(
-            build_station_dim(self.station_event, self.overrides, self.names, self.per_day)
+            build_station_dim(self.station_event, self.settings, self.names, self.per_day)
         )
 
     @cached_property
@@ -46,8 +51,8 @@ class Tables:
         """The given type, else that of the user settings, else the detected one."""
         if self.given_type is not None:
             return self.given_type
-        if self.overrides is not None:
-            chosen = self.overrides.where("kind = 'robot_type'").select("value").first()
+        if self.settings is not None:
+            chosen = self.settings.where("kind = 'robot_type'").select("value").first()
             if chosen is not None:
                 return chosen["value"]
         return detect_robot_type(self.station_event).first()["robot_type"]
