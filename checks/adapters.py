@@ -37,6 +37,19 @@ def labor_point(k):
     return F.element_at(F.array(*map(F.lit, spots)), k % 6 + 1)
 
 
+def destination():
+    return F.when(F.col("k") % 11 == 0, "PORT-1").otherwise(
+        F.concat(F.lit("LABOR-"), F.col("k") % 6 + 1)
+    )
+
+
+def storage():
+    spot = F.concat(
+        F.lit("HAI-"), F.col("k") % 20, F.lit("-"), F.col("user_id") % 30 + 1, F.lit("-1-1")
+    )
+    return F.when(F.col("k") % 10 == 0, "BUF-1").otherwise(spot)
+
+
 def station_event(ev: DataFrame) -> DataFrame:
     names = {"click": "arrived", "purchase": "triggerGo", "view": "release", "signup": "ppReady"}
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -61,27 +74,20 @@ def callback(ev: DataFrame) -> DataFrame:
         F.when(kind == "purchase", "complete").when(kind == "click", "load").otherwise("unload").alias(
             "action"
         ),
-        F.when(F.col("k") % 11 == 0, "PORT-1").otherwise(
-            F.concat(F.lit("LABOR-"), F.col("k") % 6 + 1)
-        ).alias("location_type"),
+        destination().alias("location_type"),
         F.concat(F.lit("LOC-"), F.col("k")).alias("location_code"),
     )
 
 
 def lifecycle(ev: DataFrame) -> DataFrame:
     value = F.col("value")
-    storage = F.concat(
-        F.lit("HAI-"), F.col("k") % 20, F.lit("-"), F.col("user_id") % 30 + 1, F.lit("-1-1")
-    )
     return ev.select(
         "op_day",
         F.col("event_id").alias("row_id"),
         F.concat(F.lit("ND"), F.col("event_id")).alias("task_code"),
         F.concat(F.lit("T"), F.col("user_id")).alias("container_id"),
-        F.when(F.col("k") % 10 == 0, "BUF-1").otherwise(storage).alias("source_loc"),
-        F.when(F.col("k") % 11 == 0, "PORT-1").otherwise(
-            F.concat(F.lit("LABOR-"), F.col("k") % 6 + 1)
-        ).alias("dest_loc"),
+        storage().alias("source_loc"),
+        destination().alias("dest_loc"),
         F.col("ts").alias("completed_ts"),
         (value * 40).alias("total_s"),
         (value * 10).alias("leg_s"),
@@ -90,9 +96,6 @@ def lifecycle(ev: DataFrame) -> DataFrame:
 
 
 def stage_rows(ev: DataFrame) -> DataFrame:
-    dest = F.when(F.col("k") % 11 == 0, "PORT-1").otherwise(
-        F.concat(F.lit("LABOR-"), F.col("k") % 6 + 1)
-    )
     cells = [
         F.struct(
             F.lit(name).alias("stage"),
@@ -106,7 +109,7 @@ def stage_rows(ev: DataFrame) -> DataFrame:
         "op_day",
         F.col("event_id").alias("row_id"),
         F.concat(F.lit("ND"), F.col("event_id")).alias("task_code"),
-        dest.alias("dest_loc"),
+        destination().alias("dest_loc"),
         F.col("ts").alias("completed_ts"),
         (F.col("value") * 40).alias("total_s"),
         F.inline(F.array(*cells)),
@@ -149,12 +152,8 @@ def source_lifecycle(ev: DataFrame) -> DataFrame:
     return ev.select(
         F.concat(F.lit("ND"), F.col("event_id")).alias("任务编号"),
         F.concat(F.lit("T"), F.col("user_id")).alias("容器编号"),
-        F.when(F.col("k") % 10 == 0, "BUF-1").otherwise(
-            F.concat(F.lit("HAI-"), F.col("k") % 20, F.lit("-"), F.col("user_id") % 30 + 1, F.lit("-1-1"))
-        ).alias("起始位置"),
-        F.when(F.col("k") % 11 == 0, "PORT-1").otherwise(
-            F.concat(F.lit("LABOR-"), F.col("k") % 6 + 1)
-        ).alias("目标位置"),
+        storage().alias("起始位置"),
+        destination().alias("目标位置"),
         F.col("ts").alias("complete(任务完成时间)"),
         (F.col("value") * 40).alias("任务全程耗时(秒)"),
         *[(F.col("value") * factor).alias(name) for name, _, factor in STAGES],
@@ -188,7 +187,7 @@ def log_lines(ev: DataFrame) -> DataFrame:
     change, and errors a line that is no entry.
     """
     labor = F.concat(F.lit("LABOR-"), F.col("k") % 6 + 1)
-    station = F.when(F.col("k") % 11 == 0, "PORT-1").otherwise(labor)
+    station = destination()
     point = labor_point(F.col("k"))
     kind = F.col("event_type")
     name = (

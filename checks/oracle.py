@@ -363,6 +363,23 @@ def statement(columns: str, body: str) -> str:
 CELL = "op_day station hour"
 
 SQL: dict[str, tuple[str, str]] = {
+    "s1_read_log": (
+        "op_day ts event data_id",
+        """SELECT op_day, ts, 'TASK_EXECUTION_CALLBACK_SENT' AS event,
+                  CAST(event_id AS VARCHAR) AS data_id FROM ev
+           UNION ALL
+           SELECT op_day, ts, 'BUSINESS_TASK_DATA_CHANGE', NULL
+           FROM ev WHERE event_type IN ('purchase', 'view')""",
+    ),
+    # Text after an entry belongs to its payload, which makes entries of errors unreadable.
+    "s1_read_log_multiline": (
+        "op_day ts event data_id",
+        """SELECT op_day, ts, 'TASK_EXECUTION_CALLBACK_SENT' AS event,
+                  CAST(event_id AS VARCHAR) AS data_id FROM ev WHERE event_type <> 'error'
+           UNION ALL
+           SELECT op_day, ts, 'BUSINESS_TASK_DATA_CHANGE', NULL
+           FROM ev WHERE event_type IN ('purchase', 'view')""",
+    ),
     "s2_log_entries": (
         "op_day label ts event data_id",
         """SELECT op_day, CAST(op_day AS VARCHAR) AS label, ts, 'TASK_EXECUTION_CALLBACK_SENT' AS event,

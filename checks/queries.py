@@ -64,6 +64,20 @@ def _entry_rows(entries: DataFrame) -> DataFrame:
     return entries.select("op_day", "label", "ts", "event", F.col("payload.data.id").alias("data_id"))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder name in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    tag = spark.sql("SELECT uuid() AS u").first()["u"]
+    return f"{spark.sparkContext.getCheckpointDir()}/checks-{tag}"
+
+
+def _read_log(spark: SparkSession, sf: str, multiline: bool) -> DataFrame:
+    """Write the log lines as text files and read those."""
+    path = _scratch(spark)
+    A.log_lines(A.events(spark, sf)).select("value").write.text(path)
+    return _entry_rows(eventlog.read_event_log(spark, path, multiline)).drop("label")
+
+
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     ev = A.events(spark, sf)
     raw = {
@@ -142,11 +156,8 @@ def _json_rows(t: Tables) -> DataFrame:
 
 def _written(spark: SparkSession, sf: str, fn, fmt: str) -> DataFrame:
     """Write a result, a folder per day, and read it back."""
-    ensure_checkpoint_dir(spark)
     df = fn(A.tables(spark, sf))
-    base = spark.sparkContext.getCheckpointDir()
-    tag = spark.sql("SELECT uuid() AS u").first()["u"]
-    path = f"{base}/results-{tag}"
+    path = _scratch(spark)
     sinks.write_result(df, path, fmt)
     back = spark.read.format(fmt).schema(df.schema)
     if fmt == "csv":
@@ -172,6 +183,8 @@ def _overlap_all(ev: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         # Sources
+        "s1_read_log": lambda spark, sf: _read_log(spark, sf, False),
+        "s1_read_log_multiline": lambda spark, sf: _read_log(spark, sf, True),
         "s2_log_entries": _on_log(_entry_rows),
         "s4_log_days": _on_log(eventlog.log_days),
         "s5_callback": _on_log(lambda e: eventlog.build_callback(e).drop("row_id")),

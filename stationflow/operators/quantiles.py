@@ -25,21 +25,27 @@ def exact_quantiles(
     bucket: float = 1.0,
     count: str | None = None,
     mean: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group: ``keys`` and a column per entry of ``quantiles``.
 
     Linear interpolation between neighbours, NULL values ignored. ``bucket`` is
     the histogram step in units of the value. ``count`` and ``mean`` name two
-    further columns taken from the same counts.
+    further columns taken from the same counts. With ``weight`` a row stands for
+    that many equal rows.
     """
     groups = list(keys) or ["_all"]
     key_columns = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
+    times = F.col(weight) if weight else F.lit(1)
     counts = (
         df.where(F.col(value).isNotNull())
-        .select(*key_columns, F.col(value).cast("double").alias("_value"))
+        .select(
+            *key_columns, F.col(value).cast("double").alias("_value"),
+            times.cast("bigint").alias("_times"),
+        )
         .withColumn("_bucket", F.floor(F.col("_value") / bucket))
         .groupBy(*groups, "_bucket", "_value")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_times").alias("_n"))
     )
     per_group = Window.partitionBy(*groups)
     upto = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)

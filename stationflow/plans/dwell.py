@@ -91,14 +91,19 @@ def scale_anchors(t: Tables) -> DataFrame:
 
 
 def _shown_values(picks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Picks up to ``x_max`` = min(p99 of the group, 180 s)."""
-    top = exact_quantiles(picks, by, "pick_s", {"p99": 0.99}).select(
+    """Different picks and their number ``n`` up to ``x_max`` = min(p99, 180 s).
+
+    The limit and the kept values both start from these counts, so the pairing is
+    done once.
+    """
+    counts = picks.groupBy(*by, "station", "pick_s").agg(F.count("*").alias("n"))
+    top = exact_quantiles(counts, by, "pick_s", {"p99": 0.99}, weight="n").select(
         *by, F.least("p99", F.lit(X_MAX_S)).alias("x_max")
     )
     if by:
-        joined = picks.join(top, list(by))
+        joined = counts.join(top, list(by))
     else:
-        joined = picks.withColumn("x_max", top.select("x_max").scalar())
+        joined = counts.withColumn("x_max", top.select("x_max").scalar())
     return joined.where(F.col("pick_s").between(0, F.col("x_max")))
 
 
@@ -118,7 +123,7 @@ def pick_density(picks: DataFrame, by: Sequence[str] = ("op_day",)) -> DataFrame
             "bin", F.least(F.floor(F.col("pick_s") / BIN_S).cast("int"), F.col("bins") - 1)
         )
         .groupBy(*group, "bins", "bin")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
         .where(F.col("total") >= MIN_VALUES)
         .withColumn("density", F.col("n") / (F.col("total") * BIN_S))
@@ -160,7 +165,7 @@ def pick_averages(picks: DataFrame, by: Sequence[str] = ("op_day",)) -> DataFram
     """Mean and median pick within ``x_max`` of stations with at least 10 values."""
     return exact_quantiles(
         _shown_values(picks, by), [*by, "station"], "pick_s", {"median_s": 0.5},
-        count="picks", mean="mean_s",
+        count="picks", mean="mean_s", weight="n",
     ).where(F.col("picks") >= MIN_VALUES)
 
 

@@ -37,8 +37,11 @@ def queue_depth(t: Tables) -> DataFrame:
 
 
 def depth_edges(depths: DataFrame) -> DataFrame:
-    """Bin edges per day from the quintiles of depth, rounded half to even."""
-    cuts = exact_quantiles(depths, ["op_day"], "depth", QUINTILES)
+    """Bin edges per day from the quintiles of depth, rounded half to even.
+
+    ``depths`` has ``op_day, depth`` and the number ``n`` of deliveries.
+    """
+    cuts = exact_quantiles(depths, ["op_day"], "depth", QUINTILES, weight="n")
     edges = F.array_distinct(F.array(*[F.bround(F.col(q)).cast("bigint") for q in QUINTILES]))
     flat = F.array(F.lit(1), F.greatest(F.lit(2), F.col("q5").cast("bigint") + 1))
     return cuts.select(
@@ -47,8 +50,12 @@ def depth_edges(depths: DataFrame) -> DataFrame:
 
 
 def leg_by_depth(t: Tables) -> DataFrame:
-    """Median leg per depth bin; bins without deliveries are left out."""
-    depths = queue_depth(t).select("op_day", "depth", "leg_s")
+    """Median leg per depth bin; bins without deliveries are left out.
+
+    Edges and medians both start from the counts of (depth, leg), so the overlap
+    is worked out once.
+    """
+    depths = queue_depth(t).groupBy("op_day", "depth", "leg_s").agg(F.count("*").alias("n"))
     upper = F.slice(F.col("edges"), 2, F.size("edges"))
     index = F.size(F.filter(upper, lambda e: e < F.col("depth")))
     bins = F.size("edges") - 1
@@ -67,7 +74,8 @@ def leg_by_depth(t: Tables) -> DataFrame:
         .withColumn("label", label)
     )
     return exact_quantiles(
-        binned, ["op_day", "bin", "label"], "leg_s", {"median_leg_s": 0.5}, count="deliveries"
+        binned, ["op_day", "bin", "label"], "leg_s", {"median_leg_s": 0.5}, count="deliveries",
+        weight="n",
     )
 
 

@@ -32,6 +32,14 @@ def test_quantiles_equal_numpy(spark):
     assert np.isclose(pooled[0]["med"], np.median([x for _, x in rows if x is not None]))
 
 
+def test_weighted_quantiles(spark):
+    df = spark.createDataFrame([(1.0, 5), (4.0, 2), (9.0, 1), (7.0, 0)], "v double, n long")
+    r = exact_quantiles(df, [], "v", {"med": 0.5, "p80": 0.8}, count="c", mean="m", weight="n").first()
+    rows = [1.0] * 5 + [4.0] * 2 + [9.0]
+    assert (r["c"], r["m"], r["med"], r["p80"]) == pytest.approx(
+        (8, np.mean(rows), np.median(rows), np.percentile(rows, 80)))
+
+
 def test_guarded_statistics(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.5, 5.0), (3.0, 6.0, 5.0)], "x double, y double, c double")
     x, y, c = F.col("x"), F.col("y"), F.col("c")
@@ -89,7 +97,7 @@ def test_cycle_histogram_keeps_long_tasks(make_lifecycle):
 
 def test_depth_bins(spark):
     def edges(values):
-        df = spark.createDataFrame([(DAY, v) for v in values], "op_day date, depth long")
+        df = spark.createDataFrame([(DAY, v, 1) for v in values], "op_day date, depth long, n long")
         return fleet.depth_edges(df).first()["edges"]
 
     assert edges([3, 3, 3]) == [1, 4]
