@@ -197,7 +197,7 @@ def log_lines(ev: DataFrame) -> DataFrame:
         .otherwise("CALLBACK_OF_TOTE_UNLOADED_BY_ROBOT")
     )
     action = F.when(F.col("k") % 2 == 0, "put")
-    robot = F.concat(F.lit("kubot-"), F.col("user_id") % 4)
+    robot = F.concat(F.lit("robot-"), F.col("user_id") % 4)
     message = F.to_json(
         F.struct(
             station.alias("stationCode"), point.alias("locationCode"), robot.alias("robotCode"),

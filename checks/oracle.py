@@ -300,7 +300,7 @@ PARTS: dict[str, str] = {
                'LABOR-' || (k % 6 + 1) AS labor,
                'LT_LABOR:POINT:' || ((k % 6) % 3) || ':' || (CASE WHEN k % 6 < 3 THEN 0 ELSE 1 END)
                    AS point,
-               'kubot-' || (user_id % 4) AS robot, epoch_us(ts) // 1000 AS ms
+               'robot-' || (user_id % 4) AS robot, epoch_us(ts) // 1000 AS ms
         FROM ev""",
     "changes": """
         SELECT op_day, 'ND' || user_id AS task_code, event_id, 'G' || k AS grp, robot,

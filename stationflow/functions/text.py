@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def is_labor(code: Column) -> Column:
-    return code.startswith("LABOR")
+# ---------------------------------------------------------------------------
+# Codes of the source systems.
+LABOR_PREFIX = "LABOR"
+LABOR_POINT = r"^(?=.*LABOR)(?=.*POINT)[^:]*:[^:]*:\s*[+-]?\d+\s*:\s*[+-]?\d+\s*(:|$)"
+STORAGE_LOCATION = r"^HAI[^_-]*-[^_-]*-[^_-]*-"
+SHUTTLE_LOCATION = "haiflex"
+SHUTTLE_TYPE = "A42"
+DELIVERY_TYPE = "K50"
+# ---------------------------------------------------------------------------
 
 
-def is_storage(code: Column) -> Column:
-    return code.startswith("HAI")
+def is_labor(code: Column) -> Column:
+    return code.startswith(LABOR_PREFIX)
 
 
 def robot_type_of(location: Column) -> Column:
     """Shuttle locations name their fleet; every other robot delivers."""
-    return F.when(F.lower(location).contains("haiflex"), "A42").otherwise("K50")
-
-
-STORAGE_LOCATION = r"^HAI[^_-]*-[^_-]*-[^_-]*-"
+    shuttle = F.lower(location).contains(SHUTTLE_LOCATION)
+    return F.when(shuttle, SHUTTLE_TYPE).otherwise(DELIVERY_TYPE)
 
 
 def is_storage_location(code: Column) -> Column:
@@ -32,9 +36,6 @@ def storage_part(code: Column, position: int) -> Column:
     return F.split_part(F.substring_index(code, "_", 1), F.lit("-"), F.lit(position))
 
 
-LABOR_POINT = r"^(?=.*LABOR)(?=.*POINT)[^:]*:[^:]*:\s*[+-]?\d+\s*:\s*[+-]?\d+\s*(:|$)"
-
-
 def is_labor_point(code: Column) -> Column:
     """``<prefix>LABOR:POINT:x:y`` with whole numbers; one look at the code."""
     return code.rlike(LABOR_POINT)

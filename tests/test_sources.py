@@ -26,7 +26,7 @@ def sent(ts, name, message=None, **payload):
 REACH = "CALLBACK_OF_ROBOT_REACH_STATION"
 FINISHED = "CALLBACK_OF_TASK_FINISHED"
 LOADED = "CALLBACK_OF_TOTE_LOADED_BY_ROBOT"
-AT_1 = {"stationCode": "LABOR-1", "locationCode": "LT_LABOR:POINT:1:2", "robotCode": "kubot-1"}
+AT_1 = {"stationCode": "LABOR-1", "locationCode": "LT_LABOR:POINT:1:2", "robotCode": "robot-1"}
 T1 = "2026-06-25T08:00:01.123+08:00"
 LINES_1 = [
     sent(T1, REACH, AT_1, taskCode=["ND1"], containerCode=["T9"]),
@@ -40,7 +40,7 @@ LINES_2 = [
     sent("2026-06-25T08:00:05+08:00", LOADED, {"stationCode": "S", "locationCode": "x:HaiFlex:1"}),
     sent("2026-06-25T08:00:06+08:00", LOADED, "{broken"),
     sent("2026-06-25T08:00:07+08:00", LOADED, {"actionCode": "load", "taskGroupCode": "G7"})
-    + sent("2026-06-25T08:00:08+08:00", REACH, {"stationCode": "LABOR-2", "robotCode": "kubot-2"}),
+    + sent("2026-06-25T08:00:08+08:00", REACH, {"stationCode": "LABOR-2", "robotCode": "robot-2"}),
 ]
 
 
@@ -67,8 +67,8 @@ def test_station_events(spark, log_files):
     rows = [(r["event_type"], r["location_code"], r["robot_id"], r["robot_type"]) for r in out.orderBy("row_id").collect()]
     point = "LT_LABOR:POINT:1:2"
     assert rows == [
-        ("arrived", point, "kubot-1", "K50"), ("triggerGo", point, "kubot-1", "K50"),
-        ("release", point, "kubot-1", "K50"), ("arrived", "LABOR-2", "kubot-2", "K50"),
+        ("arrived", point, "robot-1", "K50"), ("triggerGo", point, "robot-1", "K50"),
+        ("release", point, "robot-1", "K50"), ("arrived", "LABOR-2", "robot-2", "K50"),
     ]
 
 
