@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from checks import oracle, queries
 from checks.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,9 +23,8 @@ def duck():
 
 
 def test_every_query_has_sql_that_runs(duck):
-    sql = contract.oracle_sql()
-    assert set(sql) == set(contract.queries())
-    for text in sql.values():
+    assert set(oracle.oracle_sql()) == set(queries.queries())
+    for text in oracle.oracle_sql().values():
         duck.sql(text).fetchall()
 
 
