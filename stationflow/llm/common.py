@@ -37,3 +37,8 @@ def words_of(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Few rows per Arrow batch: texts can be long, and a batch is held in memory whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

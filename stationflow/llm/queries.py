@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationflow.llm import quality_ledger
+from stationflow.llm import packing, prefix_join, quality_ledger
 from stationflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def op3_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_join.linked_components(table(spark, folder, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_prefix_join": op3_prefix_join,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op9_quality_ledger": op9_quality_ledger,
     }
 
