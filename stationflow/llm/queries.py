@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stationflow.llm import packing, prefix_join, quality_ledger
+from stationflow.llm import packing, pii, prefix_join, quality_ledger
 from stationflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,16 @@ def op3_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_join.linked_components(table(spark, folder, "documents"))
 
 
+def op5_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_spans(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *(pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -64,6 +75,7 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_prefix_join": op3_prefix_join,
+        "op5_weak_supervision_pii": op5_weak_supervision_pii,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op9_quality_ledger": op9_quality_ledger,
     }
