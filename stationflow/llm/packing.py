@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.llm.common import bounded_batches, cut
-from stationflow.llm.tokens import Encoder
+from stationflow.llm.tokens import encoder
 
 CAPACITY = 2048
 OPEN_BINS = 16_384
@@ -75,11 +75,11 @@ def piece_starts(n: int, capacity: int) -> list[int]:
 
 def _cutter(path: str | None, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        tokens = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(
-                batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True
+                batch.column(0).to_pylist(), tokens.ids(batch.column(1).to_pylist()), strict=True
             ):
                 ids += END
                 n = len(ids) // 4

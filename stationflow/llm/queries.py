@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import mixing, packing, pii, prefix_join, quality_ledger
+from stationflow.llm import mixing, packing, pii, prefix_join, quality_ledger, suffix_dedup
 from stationflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op3_prefix_join": op3_prefix_join,
         "op5_weak_supervision_pii": op5_weak_supervision_pii,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_quality_ledger": op9_quality_ledger,
         "op10_soft_mixing": op10_soft_mixing,
     }

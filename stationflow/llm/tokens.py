@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
-MOST_KEPT = 300_000
+# Chunks held per Python worker, some 250 bytes each.
+MOST_KEPT = 1_000_000
+TOGETHER = 256
 # Spaces and what stands up to the next one. A byte-level tokenizer always cuts between
 # a character that is no white space and a space or line feed, so a text with no other
 # white space is the chain of these chunks, and so are its ids.
@@ -42,8 +46,8 @@ class Encoder:
         single = [c for c in chunks if "\n" not in c and not c.startswith("  ") and c != " "]
         for c in chunks.difference(single):
             self.known[c] = self._whole(c)
-        for at in range(0, len(single), 4096):
-            part = single[at : at + 4096]
+        for at in range(0, len(single), TOGETHER):
+            part = single[at : at + TOGETHER]
             ids = np.frombuffer(self._whole("\n".join(part)), np.uint32)
             ends = np.append(np.flatnonzero(ids == self.line), len(ids))
             begin = 0
@@ -72,3 +76,11 @@ class Encoder:
         for k, found in chunks.items():
             out[k] = b"".join(map(held.__getitem__, found))
         return out
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this Python worker, which outlives a task when Spark reuses the worker."""
+    held = sys.modules.setdefault("_stationflow_encoders", types.ModuleType("_stationflow_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
