@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import mixing, packing, pii, prefix_join, quality_ledger, suffix_dedup
+from stationflow.llm import legacy_archive, mixing, packing, pii, prefix_join, quality_ledger, suffix_dedup
 from stationflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def op1_legacy_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return legacy_archive.archived_pages(table(spark, folder, "pages"))
+
+
 def op3_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_join.linked_components(table(spark, folder, "documents"))
 
@@ -82,6 +86,7 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_legacy_archive": op1_legacy_archive,
         "op3_prefix_join": op3_prefix_join,
         "op5_weak_supervision_pii": op5_weak_supervision_pii,
         "op6_best_fit_packing": op6_best_fit_packing,
