@@ -265,7 +265,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     )
     found = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(
         _anchor_rows, "gram long, stretch long, key binary, place long, first long, last long"
-    )
+    ).repartition("gram")  # one exchange serves the windows over (gram, stretch) and over gram
     of_gram, of_stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "stretch")
     met = (
         found.withColumns(
