@@ -11,70 +11,104 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
-# Chunks held per Python worker, some 250 bytes each.
-MOST_KEPT = 1_000_000
+# Words held per Python worker, some 200 bytes each.
+MOST_KEPT = 1_500_000
 TOGETHER = 256
-# Spaces and what stands up to the next one. A byte-level tokenizer always cuts between
-# a character that is no white space and a space or line feed, so a text with no other
-# white space is the chain of these chunks, and so are its ids.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+# White space other than single spaces and line feeds inside the text.
+_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+_MARKS = ".,!?;:%*$&|#)"
 
 
 class Encoder:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit bytes.
 
-    The strings of special tokens are ordinary text. New chunks are encoded together,
-    one per line: a line feed is a piece of its own there, and no chunk has one.
+    The strings of special tokens are ordinary text. A byte-level tokenizer always cuts
+    before a space or line feed that stands alone between other characters, so the ids
+    of a text with no other white space are those of its words, each with the space
+    before it, and of its line feeds. Words are remembered. It also cuts between a
+    letter or digit and a mark, so a word with marks at its end needs no new encoding
+    when the word is known. New words are encoded together, one per line: no word holds
+    a line feed, so its ids stand between those of line feeds.
     """
 
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(DEFAULT))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        line = self._whole("\n")
+        self.bare: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.line = self._whole("\n")
         pieces = type(self.tokenizer.pre_tokenizer).__name__
-        plain = pieces == "ByteLevel" and self.tokenizer.normalizer is None
-        self.line = int(np.frombuffer(line, np.uint32)[0]) if plain and len(line) == 4 else None
+        self.by_word = pieces == "ByteLevel" and self.tokenizer.normalizer is None and len(self.line) == 4
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > MOST_KEPT:
-            self.known.clear()
-        single = [c for c in chunks if "\n" not in c and not c.startswith("  ") and c != " "]
-        for c in chunks.difference(single):
-            self.known[c] = self._whole(c)
-        for at in range(0, len(single), TOGETHER):
-            part = single[at : at + TOGETHER]
-            ids = np.frombuffer(self._whole("\n".join(part)), np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
-            begin = 0
-            for c, end in zip(part, ends.tolist(), strict=True):
-                self.known[c] = ids[begin:end].tobytes()
-                begin = end + 1
+    def _encode(self, known: dict[str, bytes], before: str, words: list[str]) -> None:
+        line = np.frombuffer(self.line, np.uint32)[0]
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            raw, begin = self._whole("\n".join([before + w for w in part])), 0
+            ids = np.frombuffer(raw, np.uint32)
+            ends = np.append(np.flatnonzero(ids == line), len(ids)) * 4
+            for w, end in zip(part, ends.tolist(), strict=True):
+                known[w] = raw[begin:end]
+                begin = end + 4
+
+    def _learn(self, known: dict[str, bytes], before: str, words: set[str]) -> None:
+        stems, marks, marked = set(), set(), []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if stem and len(stem) < len(w) and stem[-1].isalnum():
+                mark = w[len(stem) :]
+                marked.append((w, stem, mark))
+                if stem not in known:
+                    stems.add(stem)
+                if mark not in self.bare:
+                    marks.add(mark)
+            elif w not in known:
+                stems.add(w)
+        self._encode(known, before, list(stems))
+        self._encode(self.bare, "", [m for m in marks if m not in self.bare])
+        for w, stem, mark in marked:
+            known[w] = known[stem] + self.bare[mark]
+
+    def _lines(self, text: str) -> list[tuple[list[str], list]]:
+        out = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            ids = list(map(self.spaced.get, words))
+            ids[0] = self.bare.get(words[0])
+            out.append((words, ids))
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.bare) + len(self.spaced) > MOST_KEPT:
+            self.bare.clear()
+            self.spaced.clear()
         out: list[bytes | None] = [None] * len(texts)
-        chunks: dict[int, list[str]] = {}
+        held: dict[int, list[tuple[list[str], list]]] = {}
+        bare: set[str] = set()
+        spaced: set[str] = set()
         for k, text in enumerate(texts):
             text = text or ""
-            if self.line is None or _OTHER_SPACE.search(text):
+            if not text or not self.by_word or _OTHER_SPACE.search(text):
                 out[k] = self._whole(text)
-            else:
-                chunks[k] = _CHUNK.findall(text)
-        new: set[str] = set()
-        for found in chunks.values():
-            new.update(found)
-        held = self.known
-        new.difference_update(held)
-        if new:
-            if len(held) > MOST_KEPT:  # it is emptied, so all chunks are new
-                new = set().union(*chunks.values())
-            self._learn(new)
-        for k, found in chunks.items():
-            out[k] = b"".join(map(held.__getitem__, found))
+                continue
+            held[k] = self._lines(text)
+            for words, ids in held[k]:
+                if None in ids:
+                    if ids[0] is None:
+                        bare.add(words[0])
+                    spaced.update([w for w, v in zip(words[1:], ids[1:], strict=True) if v is None])
+        self._learn(self.bare, "", bare)
+        self._learn(self.spaced, " ", spaced)
+        for k, lines in held.items():
+            parts = []
+            for words, ids in lines:
+                if None in ids:
+                    ids = [self.bare[words[0]], *map(self.spaced.__getitem__, words[1:])]
+                parts.append(b"".join(ids))
+            out[k] = self.line.join(parts)
         return out
 
 
