@@ -29,7 +29,6 @@ the same rate; an empty table gives no rows; other columns pass through
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -77,17 +76,14 @@ def features(text: str | None) -> tuple[int, np.ndarray]:
     return len(words), np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) & mask for w in seen), np.int64, len(seen)))
 
 
-@dataclass
-class Model:
-    """Softmax weights of the kept buckets; domains by column."""
+# Softmax base by domain, and weights by bucket and domain.
+Model = tuple[np.ndarray, np.ndarray]
 
-    base: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, len(DOMAINS))))
 
-    def posterior(self, buckets: np.ndarray) -> np.ndarray:
-        score = self.base + self.weight[buckets].sum(axis=0)
-        score = np.exp(score - score.max())
-        return score / score.sum()
+def posterior(model: Model, buckets: np.ndarray) -> np.ndarray:
+    score = model[0] + model[1][buckets].sum(axis=0)
+    score = np.exp(score - score.max())
+    return score / score.sum()
 
 
 def _softmax(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
+    base, weight = np.zeros(len(DOMAINS)), np.zeros((1 << BITS, len(DOMAINS)))
     if not len(rows):
-        return Model()
+        return base, weight
     present = np.zeros((1 << BITS, len(DOMAINS)))
     totals = np.zeros(len(DOMAINS))
     for domain, bucket, n in rows.itertuples(index=False):
@@ -178,16 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = sample_rows.mapInArrow(_kept_bits(kept), "domain int, bits binary").toPandas()
     bits = np.frombuffer(b"".join(found["bits"]), np.uint8).reshape(len(found), -1)
     x = np.unpackbits(bits, axis=1)[:, : len(kept)].astype(np.float32)
-    model = Model()
-    model.base, model.weight[kept] = _softmax(x, np.eye(len(DOMAINS), dtype=np.float32)[found["domain"]])
-    return model
+    base, weight[kept] = _softmax(x, np.eye(len(DOMAINS), dtype=np.float32)[found["domain"]])
+    return base, weight
 
 
 def _scored(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t) for t in batch.column("text").to_pylist()]
-            p = np.array([model.value.posterior(b) for _, b in found]).reshape(-1, len(DOMAINS))
+            p = np.array([posterior(model.value, b) for _, b in found]).reshape(-1, len(DOMAINS))
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([n for n, _ in found], pa.int64())}
             yield pa.record_batch(columns | {f"p_{d}": pa.array(p[:, k]) for k, d in enumerate(DOMAINS)})
 
@@ -264,7 +260,7 @@ def _rate_column(steps: list[np.ndarray]):
 def _rate_of_texts(model, steps: list[np.ndarray], position: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = [model.value.posterior(features(t)[1]) for t in batch.column(position).to_pylist()]
+            p = [posterior(model.value, features(t)[1]) for t in batch.column(position).to_pylist()]
             p = np.array(p).reshape(-1, len(DOMAINS))
             added = [pa.array(rates(p, steps)), pa.array(p[:, DOMAINS.index(ANCHOR)])]
             names = [*(f"c{k}" for k in range(batch.num_columns)), "rate", "p"]

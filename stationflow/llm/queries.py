@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import legacy_archive, mixing, packing, pii, prefix_join, quality_ledger, suffix_dedup
+from stationflow.llm import (
+    legacy_archive,
+    license_digest,
+    mixing,
+    packing,
+    pii,
+    prefix_forest,
+    prefix_join,
+    quality_ledger,
+    suffix_dedup,
+    token_spans,
+)
 from stationflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +69,18 @@ def op1_legacy_archive(spark: SparkSession, folder: str) -> DataFrame:
     return legacy_archive.archived_pages(table(spark, folder, "pages"))
 
 
+def op2_token_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return token_spans.tokens_by_line(table(spark, folder, "documents"))
+
+
+def op4_license_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return license_digest.scan(table(spark, folder, "documents"))
+
+
+def op8_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_join.linked_components(table(spark, folder, "documents"))
 
@@ -87,10 +110,13 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_legacy_archive": op1_legacy_archive,
+        "op2_token_spans": op2_token_spans,
         "op3_prefix_join": op3_prefix_join,
+        "op4_license_digest": op4_license_digest,
         "op5_weak_supervision_pii": op5_weak_supervision_pii,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_prefix_forest": op8_prefix_forest,
         "op9_quality_ledger": op9_quality_ledger,
         "op10_soft_mixing": op10_soft_mixing,
     }
