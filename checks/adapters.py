@@ -117,8 +117,8 @@ def stage_rows(ev: DataFrame) -> DataFrame:
 
 
 def settings(ev: DataFrame) -> DataFrame:
-    """The user settings as one row, next to the data they are for."""
-    return ev.limit(1).select(F.lit(SETTINGS).alias("text"))
+    """The user settings as one row."""
+    return ev.sparkSession.range(1).select(F.lit(SETTINGS).alias("text"))
 
 
 def tables(spark: SparkSession, sf_dir: str, overrides: DataFrame | None = None) -> Tables:
@@ -214,7 +214,8 @@ def log_lines(ev: DataFrame) -> DataFrame:
             ).alias("data"),
         )
     )
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    # Epoch times are absolute, and the clock of the log is eight hours ahead.
+    ms = F.unix_millis(F.col("ts").cast("timestamp")) - 8 * 3_600_000
     change_json = F.to_json(
         F.struct(
             F.array(task).alias("taskCode"),

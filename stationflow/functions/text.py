@@ -42,4 +42,4 @@ def is_labor_point(code: Column) -> Column:
 
 
 def point_coordinate(code: Column, position: int) -> Column:
-    return F.trim(F.try_element_at(F.split(code, ":"), F.lit(position))).try_cast("int")
+    return F.trim(F.try_element_at(F.split(code, ":"), F.lit(position))).try_cast("bigint")

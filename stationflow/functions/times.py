@@ -44,9 +44,22 @@ def parse_iso(text: Column) -> Column:
     )
 
 
-def parse_epoch_ms(text: Column, zone: str = "UTC") -> Column:
-    """Epoch milliseconds, as a number or text; 0 and unreadable give NULL."""
+def zone_offset(text: Column) -> Column:
+    """Seconds that the zone suffix of a log time is ahead of UTC; 0 without one."""
+    sign = F.when(F.regexp_extract(text, r"([+-])\d{2}:\d{2}\s*$", 1) == "-", -1).otherwise(1)
+    hours = F.regexp_extract(text, r"[+-](\d{2}):\d{2}\s*$", 1).try_cast("int")
+    minutes = F.regexp_extract(text, r"[+-]\d{2}:(\d{2})\s*$", 1).try_cast("int")
+    return F.coalesce(sign * (hours * 3600 + minutes * 60), F.lit(0))
+
+
+def parse_epoch_ms(text: Column, zone: str | Column = "UTC") -> Column:
+    """Epoch milliseconds, as a number or text; 0 and unreadable give NULL.
+
+    ``zone`` is a zone name, or a column of seconds ahead of UTC.
+    """
     ms = F.nullif(text.try_cast("bigint"), F.lit(0))
+    if isinstance(zone, Column):
+        return F.timestamp_millis(ms + zone * 1000).cast("timestamp_ntz")
     utc = F.timestamp_millis(ms)
     if zone != "UTC":
         utc = F.from_utc_timestamp(utc, zone)

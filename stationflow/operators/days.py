@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,41 @@ def peak_day(callback: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sizes.groupBy(*by).agg(F.min_by("date", first).alias("op_day"))
 
 
-def keep_peak_day(t: Tables) -> Tables:
-    """Only the rows of the peak day, in every table."""
-    return t.only(peak_day(t.callback))
+def keep_peak_day(t: Tables, by: Sequence[str] = ()) -> Tables:
+    """Only the rows of the peak day, in every table.
+
+    With ``by`` (columns that name the load, such as ``source``) each load keeps its own
+    peak day. A load whose callbacks know one date or none stays as it is.
+    """
+    dated = t.callback.withColumn("date", F.to_date("ts")).where(F.col("date").isNotNull())
+    sizes = dated.groupBy(*by, "date").agg(F.count("*").alias("n"))
+    peaks = (
+        sizes.groupBy(*by)
+        .agg(F.count("*").alias("dates"), F.min_by("date", F.struct(-F.col("n"), F.col("date"))).alias("_peak"))
+        .where("dates > 1")
+        .drop("dates")
+    )
+
+    def keep(df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        if not by:
+            peak = peaks.scalar()
+            return df.where(F.when(peak.isNull(), F.lit(True)).otherwise(F.col("op_day") == peak))
+        other = peaks.select(*[F.col(c).alias(f"_{c}") for c in by], "_peak")
+        same_load = [df[c].eqNullSafe(other[f"_{c}"]) for c in by]
+        marked = df.join(other, same_load, "left")
+        return marked.where(F.col("_peak").isNull() | (F.col("op_day") == F.col("_peak"))).select(
+            *[df[c] for c in df.columns]
+        )
+
+    return replace(
+        t,
+        station_event=keep(t.station_event),
+        callback=keep(t.callback),
+        lifecycle=keep(t.lifecycle),
+        stage=keep(t.stage),
+    )
 
 
 def data_date(spark: SparkSession, t: Tables) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.functions.times import floor_to
@@ -13,8 +13,8 @@ from stationflow.functions.times import floor_to
 
 def day_start(cells: DataFrame, time: str = "hour", keys: Sequence[str] = ("op_day",)) -> DataFrame:
     """Add ``day_ts``: midnight of the earliest hour of the day's cells."""
-    first = F.min(time).over(Window.partitionBy(*keys))
-    return cells.withColumn("day_ts", floor_to(first, "DAY"))
+    first = cells.groupBy(*keys).agg(floor_to(F.min(time), "DAY").alias("day_ts"))
+    return cells.join(first, list(keys))
 
 
 def ticks(rows: DataFrame, unit: str, count: int, out: str) -> DataFrame:

@@ -60,18 +60,24 @@ def pair_events(
     )
 
 
-def pick_pairs(events: DataFrame, carry: Sequence[str] = ("location_code",)) -> DataFrame:
+def pick_pairs(
+    events: DataFrame, carry: Sequence[str] = ("location_code",), block_s: int = BLOCK_S
+) -> DataFrame:
     """Per robot: arrived, then triggerGo."""
-    return pair_events(events, ["op_day", "robot_id"], S.ARRIVED, S.TRIGGER_GO, carry)
+    return pair_events(
+        events, ["op_day", "robot_id"], S.ARRIVED, S.TRIGGER_GO, carry, block_s=block_s
+    )
 
 
-def switch_pairs(events: DataFrame, place: str = "station") -> DataFrame:
+def switch_pairs(events: DataFrame, place: str = "station", block_s: int = BLOCK_S) -> DataFrame:
     """Per station: release, then the next arrival of any robot."""
-    return pair_events(events, ["op_day", place], S.RELEASE, S.ARRIVED)
+    return pair_events(events, ["op_day", place], S.RELEASE, S.ARRIVED, block_s=block_s)
 
 
-def dwell_pairs(events: DataFrame, carry: Sequence[str] = ("robot_type",)) -> DataFrame:
+def dwell_pairs(
+    events: DataFrame, carry: Sequence[str] = ("robot_type",), block_s: int = BLOCK_S
+) -> DataFrame:
     """Per robot: first open arrival until release."""
     return pair_events(
-        events, ["op_day", "robot_id"], S.ARRIVED, S.RELEASE, carry, mode="first_open"
+        events, ["op_day", "robot_id"], S.ARRIVED, S.RELEASE, carry, "first_open", block_s
     )

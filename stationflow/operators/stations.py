@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,11 @@ def build_station_dim(
             F.concat(F.lit("LABOR-"), F.col("station_ord")).alias("station"),
             "x",
             "y",
-            F.concat(F.lit("Zone "), F.char(F.col("_zone") + 64)).alias("zone"),
+            # Letters from A on; past the last one-byte character the number itself.
+            F.concat(
+                F.lit("Zone "),
+                F.when(F.col("_zone") < 192, F.char(F.col("_zone") + 64)).otherwise(F.col("_zone").cast("string")),
+            ).alias("zone"),
             "station_ord",
         )
     )
@@ -103,10 +109,10 @@ def with_station(events: DataFrame, dim: DataFrame, how: str = "left") -> DataFr
     return events.join(dim.select(*on, "station"), on, how)
 
 
-def detect_robot_type(events: DataFrame) -> DataFrame:
-    """One row: the first type that holds "50", else the first type."""
+def detect_robot_type(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``by``): the first type that holds "50", else the first type."""
     kind = F.when(F.col("robot_type").contains(S.DELIVERY_HINT), F.col("robot_type"))
-    return events.where(F.col("robot_type").isNotNull()).agg(
+    return events.where(F.col("robot_type").isNotNull()).groupBy(*by).agg(
         F.coalesce(
             F.min_by(kind, F.when(kind.isNotNull(), F.col("row_id"))),
             F.min_by("robot_type", "row_id"),
@@ -114,9 +120,16 @@ def detect_robot_type(events: DataFrame) -> DataFrame:
     )
 
 
-def of_type(events: DataFrame, robot_type: str | None) -> DataFrame:
-    """Events of one robot type; all of them if no type is known."""
-    return events if robot_type is None else events.where(F.col("robot_type") == robot_type)
+def of_type(events: DataFrame, robot_type: str | DataFrame | None) -> DataFrame:
+    """Events of one robot type, or of the type of their day; all of them if none is known."""
+    if robot_type is None:
+        return events
+    if isinstance(robot_type, DataFrame):
+        chosen = robot_type.select("op_day", F.col("robot_type").alias("_type"))
+        return events.join(chosen, "op_day", "left").where(
+            F.col("_type").isNull() | (F.col("robot_type") == F.col("_type"))
+        ).drop("_type")
+    return events.where(F.col("robot_type") == robot_type)
 
 
 def completions(events: DataFrame) -> DataFrame:

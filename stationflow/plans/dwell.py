@@ -220,17 +220,26 @@ def pick_vs_throughput(t: Tables) -> DataFrame:
     pairs = station_hour(t).join(picks, CELL).where(
         (F.col("pick_s") > 0) & (F.col("completions") > 0)
     )
-    day = Window.partitionBy("op_day")
+    quarters = F.array(F.lit(0.25), F.lit(0.75))
+    fences = pairs.groupBy("op_day").agg(
+        F.percentile("pick_s", quarters).alias("_pick_s"),
+        F.percentile("completions", quarters).alias("_completions"),
+    )
 
     def inside(name: str):
-        q = F.percentile(name, F.array(F.lit(0.25), F.lit(0.75))).over(day)
+        q = F.col(f"_{name}")
         reach = (q[1] - q[0]) * 1.5
         return F.col(name).between(q[0] - reach, q[1] + reach)
 
-    marked = pairs.withColumn("inlier", inside("pick_s") & inside("completions"))
-    kept = F.sum(F.col("inlier").cast("int")).over(day)
-    return marked.withColumn("used", F.col("inlier") | (kept < 4)).withColumn(
-        "ceiling_tph", S.HOUR_S / (F.col("pick_s") + S.FIXED_SWITCH_S)
+    marked = pairs.join(fences, "op_day").withColumn(
+        "inlier", inside("pick_s") & inside("completions")
+    ).drop("_pick_s", "_completions")
+    kept = marked.groupBy("op_day").agg(F.sum(F.col("inlier").cast("int")).alias("_kept"))
+    return (
+        marked.join(kept, "op_day")
+        .withColumn("used", F.col("inlier") | (F.col("_kept") < 4))
+        .drop("_kept")
+        .withColumn("ceiling_tph", S.HOUR_S / (F.col("pick_s") + S.FIXED_SWITCH_S))
     )
 
 

@@ -98,17 +98,18 @@ def depth_summary(t: Tables) -> DataFrame:
     return r.join(medians, "op_day")
 
 
-def _fleet_of(t: Tables):
-    if t.robot_type is None:
-        return F.lit("delivery")
-    return F.when(F.col("robot_type") == t.robot_type, "delivery").otherwise("shuttle")
-
-
 def _robot_events(t: Tables) -> DataFrame:
+    """Events of known robots with their fleet: those of the day's type deliver."""
     known = F.col("ts").isNotNull() & F.col("robot_id").isNotNull()
-    return t.station_event.where(known & F.col("robot_type").isNotNull()).withColumn(
-        "fleet", _fleet_of(t)
-    )
+    rows, chosen = t.station_event.where(known & F.col("robot_type").isNotNull()), t.day_types
+    if chosen is None:
+        return rows.withColumn("fleet", F.lit("delivery"))
+    if isinstance(chosen, DataFrame):
+        rows = rows.join(chosen.select("op_day", F.col("robot_type").alias("_type")), "op_day", "left")
+    else:
+        rows = rows.withColumn("_type", F.lit(chosen))
+    delivers = F.col("_type").isNull() | (F.col("robot_type") == F.col("_type"))
+    return rows.withColumn("fleet", F.when(delivers, "delivery").otherwise("shuttle")).drop("_type")
 
 
 def lifecycle_intervals(t: Tables) -> DataFrame:

@@ -84,14 +84,14 @@ def station_hour_detail(t: Tables) -> DataFrame:
     )
     switches = occupied_seconds(delivery_switches(t), ["op_day", "station"])
     cells = station_hour(t).join(picks, CELL, "left").join(switches, CELL, "left")
-    has_picks = F.max(F.col("tasks").isNotNull()).over(Window.partitionBy("op_day"))
+    has_picks = cells.groupBy("op_day").agg(F.max(F.col("tasks").isNotNull()).alias("has_picks"))
     zero = F.lit(0.0)
     busy = F.coalesce("pick_occ", zero) + F.coalesce("occupied_s", zero)
     active = F.col("completions") > 0
     mean_pick = ratio(F.col("weighted"), F.col("tasks"))
     effective, capacity = F.col("effective_tasks"), F.col("capacity_tph")
     return (
-        cells.withColumn("has_picks", has_picks)
+        cells.join(has_picks, "op_day")
         .withColumns(
             {
                 "active_pct": F.when(

@@ -119,3 +119,6 @@ LEG_UTIL_MAX_S = 7200.0
 FIXED_SWITCH_S = 6.0
 HOUR_S = 3600.0
 # ---------------------------------------------------------------------------
+
+# Folder of each canonical table.
+RAW_NAMES = {"callback": "cb_raw", "station_event": "st_raw", "lifecycle": "lc_raw", "stage": "sg_raw"}

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from stationflow import schemas as S
 from stationflow.functions.text import is_labor, robot_type_of
-from stationflow.functions.times import parse_epoch_ms, parse_iso, seconds_between
+from stationflow.functions.times import parse_epoch_ms, parse_iso, seconds_between, zone_offset
+from stationflow.operators.ordered import running_totals
+from stationflow.sources.sinks import write_raw
+from stationflow.sources.tables import read_canonical
 from stationflow.tables import Tables
 
 # ---------------------------------------------------------------------------
@@ -30,14 +33,11 @@ TASK_FINISHED = "CALLBACK_OF_TASK_FINISHED"
 STATION_REACHED = "CALLBACK_OF_ROBOT_REACH_STATION"
 UNNAMED_ACTION = "robot"
 ASSIGN_COLUMN = "分配耗时(秒)"
-PAYLOAD = """
-    taskCode ARRAY<STRING>, containerCode ARRAY<STRING>, taskGroupCode STRING,
-    fromLocationCode STRING,
-    data STRUCT<
-        name: STRING, message: STRING, id: STRING, assignedRobotCode: STRING,
-        finalToStationCode: STRING, nextDestination: ARRAY<STRING>, wmsTaskCreated: STRING,
-        assignedTime: STRING, loadTime: STRING, unloadTime: STRING, completedTime: STRING>,
-    _bad STRING
+PAYLOAD = "taskCode STRING, containerCode STRING, taskGroupCode STRING, fromLocationCode STRING, data STRING"
+DATA = """
+    name STRING, message STRING, id STRING, assignedRobotCode STRING, finalToStationCode STRING,
+    nextDestination STRING, wmsTaskCreated STRING, assignedTime STRING, loadTime STRING,
+    unloadTime STRING, completedTime STRING
 """
 MESSAGE = """
     stationCode STRING, locationCode STRING, robotCode STRING, actionCode STRING,
@@ -46,7 +46,7 @@ MESSAGE = """
 # ---------------------------------------------------------------------------
 
 MARK = "\u0001"
-MULTILINE_SEPARATOR = "\n[20"
+STARTS = r"^\[\d{4}-\d{2}-\d{2}T"
 
 
 def file_date(name: Column) -> Column:
@@ -55,25 +55,49 @@ def file_date(name: Column) -> Column:
 
 
 def read_event_log(
-    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False
+    spark: SparkSession, paths: str | Sequence[str], multiline: bool = True
 ) -> DataFrame:
     """Parsed entries of one or many log files, in file-name order.
 
-    By default an entry is one line. With ``multiline`` the file is split where a
-    line starts with ``[20``, so a payload may span lines.
+    An entry reaches up to the next one, so a payload may span lines, and stray text after
+    an entry makes it unreadable. Without ``multiline`` an entry ends with its line.
     """
-    reader = spark.read
-    if multiline:
-        reader = reader.option("lineSep", MULTILINE_SEPARATOR)
-    lines = reader.text(paths).select(
-        F.when(F.col("value").startswith("["), F.col("value"))
-        .otherwise(F.concat(F.lit("[20" if multiline else ""), F.col("value")))
-        .alias("value"),
+    lines = spark.read.text(paths).select(
+        "value",
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return parse_entries(lines)
+    return _parse_chunks(_glued(_chunks(lines)) if multiline else _chunks(lines))
+
+
+def _chunks(lines: DataFrame) -> DataFrame:
+    """Lines cut where an entry starts."""
+    return lines.select(
+        "file_name", "block", "line", F.posexplode(F.split("value", ENTRY_START)).alias("part", "chunk")
+    )
+
+
+def _glued(chunks: DataFrame) -> DataFrame:
+    """Each entry start with the lines up to the next one.
+
+    Starts are numbered per file by running totals over its blocks, so no task holds a
+    file, and the lines of one number are put together.
+    """
+    place = ["block", "line", "part"]
+    started = chunks.withColumn("entry", F.col("chunk").rlike(STARTS).cast("bigint"))
+    numbered = running_totals(started, ["file_name"], place, ["entry"], block_s=1).where("entry > 0")
+    parts = F.sort_array(F.collect_list(F.struct(*place, "chunk")))
+    text = F.transform(
+        "parts", lambda x, i: F.when((i > 0) & (x["part"] == 0), F.concat(F.lit("\n"), x["chunk"])).otherwise(x["chunk"])
+    )
+    return (
+        numbered.groupBy("file_name", "entry")
+        .agg(parts.alias("parts"))
+        .select(
+            "file_name", *[F.col("parts")[0][c].alias(c) for c in place], F.array_join(text, "").alias("chunk")
+        )
+    )
 
 
 def require_entries(entries: DataFrame) -> DataFrame:
@@ -84,43 +108,67 @@ def require_entries(entries: DataFrame) -> DataFrame:
 
 
 def parse_entries(lines: DataFrame) -> DataFrame:
-    """``op_day, label, row_id, ts, event, payload`` of each well-formed entry.
+    """``op_day, label, row_id, ts, offset_s, event, payload`` of each well-formed entry.
 
-    ``lines`` has ``value, file_name, block, line``. Text that is no entry and
-    payloads that are no JSON object are dropped. ``op_day`` is the date in the
-    file name, else the entry's own date; ``label`` names the day or file.
+    ``lines`` has ``value, file_name, block, line``; here an entry ends with its line.
+    """
+    return _parse_chunks(_chunks(lines))
+
+
+def _parse_chunks(chunks: DataFrame) -> DataFrame:
+    """Text that is no entry and payloads that are no JSON object as a whole are dropped.
+
+    A field is read on its own: one of another type is its JSON text, or NULL where a
+    list is wanted. ``op_day`` is the date in the file name, else the entry's own date;
+    ``label`` names the day or file; ``offset_s`` is the zone of the entry's clock.
     """
-    chunks = lines.select(
-        "file_name", "block", "line", F.posexplode(F.split("value", ENTRY_START)).alias("part", "chunk")
-    )
     # One run of the pattern marks the three parts; text that is no entry stays whole.
     marked = F.regexp_replace("chunk", F.lit(ENTRY), F.lit(f"$1{MARK}$2{MARK}$3"))
     found = chunks.select(
         "file_name", "block", "line", "part",
         F.explode(F.array(F.split(marked, MARK, 3))).alias("field"),
     ).where(F.size("field") == 3)
-    json = F.rtrim(F.col("field")[2], F.lit(" \t\r\n"))
+    json = F.trim(F.col("field")[2], F.lit(" \t\r\n"))
+    # One whole value, and an object: text before or after it makes the list unreadable or longer.
+    alone = json.startswith("{") & (
+        F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1
+    )
     day = file_date(F.col("file_name"))
+
+    def texts(name: str) -> Column:
+        return F.from_json(name, "array<string>").alias(name.rsplit(".", 1)[-1])
+
+    data = [F.col(f"inner.{n}").alias(n) for n in (
+        "name", "message", "id", "assignedRobotCode", "finalToStationCode", "wmsTaskCreated",
+        "assignedTime", "loadTime", "unloadTime", "completedTime",
+    )]
     return (
-        found.select(
+        found.where(alone)
+        .select(
             day.alias("_day"),
             F.coalesce(day.cast("string"), "file_name").alias("label"),
             F.struct(F.col("file_name").alias("file"), "block", "line", "part").alias("row_id"),
             parse_iso(F.col("field")[0]).alias("ts"),
+            zone_offset(F.col("field")[0]).alias("offset_s"),
             F.col("field")[1].alias("event"),
-            _parse_once(F.when(json.endswith("}"), json), PAYLOAD).alias("payload"),
+            _parse_once(json, PAYLOAD).alias("outer"),
         )
-        .where(F.col("payload").isNotNull() & F.col("payload._bad").isNull())
+        .where(F.col("outer").isNotNull())
+        .select("*", _parse_once(F.coalesce("outer.data", F.lit("{}")), DATA).alias("inner"))
         .select(
-            F.coalesce("_day", F.to_date("ts")).alias("op_day"), "label", "row_id", "ts", "event",
-            "payload",
+            F.coalesce("_day", F.to_date("ts")).alias("op_day"), "label", "row_id", "ts", "offset_s", "event",
+            F.struct(
+                texts("outer.taskCode"), texts("outer.containerCode"), F.col("outer.taskGroupCode").alias("taskGroupCode"),
+                F.col("outer.fromLocationCode").alias("fromLocationCode"),
+                F.struct(*data, texts("inner.nextDestination")).alias("data"),
+            ).alias("payload"),
         )
     )
 
 
 def _parse_once(text: Column, schema: str) -> Column:
     """Parsed JSON as a generated column, so that no filter repeats the parsing."""
-    return F.explode(F.array(F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad"})))
+    return F.explode(F.array(F.from_json(text, schema)))
 
 
 def _ordinal(row_id: Column, part: Column | int) -> Column:
@@ -208,9 +256,13 @@ def build_station_event(entries: DataFrame) -> DataFrame:
     )
 
 
-def build_lifecycle(entries: DataFrame, zone: str = "UTC") -> DataFrame:
+def build_lifecycle(entries: DataFrame, zone: str | None = None) -> DataFrame:
     """Fold the state changes of each ``ND`` task into one row.
 
+    Tasks are folded per load (``label``: the day of the file name, else the file), so an
+    undated file keeps tasks that run over midnight whole; their day is that of their
+    first entry. Epoch times go to the clock of the entry that holds them, or to ``zone``.
+
     Container, robot and times keep their last value, group and source their
     first; the destination is the last final station, else the first next
     destination. Tasks without completion or labor destination are dropped.
@@ -222,7 +274,7 @@ def build_lifecycle(entries: DataFrame, zone: str = "UTC") -> DataFrame:
         "next": F.try_element_at(f"{data}.nextDestination", F.lit(1)),
     }
     changes = entries.where((F.col("event") == BUSINESS_CHANGE) & code.startswith("ND")).select(
-        "op_day",
+        "op_day", "label",
         _ordinal(F.col("row_id"), 0).alias("row_id"),
         code.alias("task_code"),
         _text(F.col("payload.taskGroupCode")).alias("task_group"),
@@ -233,7 +285,7 @@ def build_lifecycle(entries: DataFrame, zone: str = "UTC") -> DataFrame:
         ).alias("source"),
         *[F.when(is_labor(c), c).alias(n) for n, c in labor.items()],
         *[
-            parse_epoch_ms(F.col(f"{data}.{field}"), zone).alias(name)
+            parse_epoch_ms(F.col(f"{data}.{field}"), zone or F.col("offset_s")).alias(name)
             for name, field in {
                 "created": "wmsTaskCreated",
                 "assigned": "assignedTime",
@@ -250,7 +302,8 @@ def build_lifecycle(entries: DataFrame, zone: str = "UTC") -> DataFrame:
     def first(name: str) -> Column:
         return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("row_id")))
 
-    folded = changes.groupBy("op_day", "task_code").agg(
+    folded = changes.groupBy("label", "task_code").agg(
+        F.min_by("op_day", "row_id").alias("op_day"),
         F.min("row_id").alias("row_id"),
         F.min_by("task_group", "row_id").alias("task_group"),
         _text(last("container")).alias("container_id"),
@@ -263,7 +316,7 @@ def build_lifecycle(entries: DataFrame, zone: str = "UTC") -> DataFrame:
         ],
     )
     done = folded.where(F.col("completed_ts").isNotNull() & F.col("dest_loc").isNotNull())
-    return with_durations(done)
+    return with_durations(done.drop("label"))
 
 
 def with_durations(tasks: DataFrame) -> DataFrame:
@@ -294,7 +347,9 @@ def log_stages(lifecycle: DataFrame) -> DataFrame:
     )
 
 
-def log_tables(entries: DataFrame, overrides: DataFrame | None = None, zone: str = "UTC") -> Tables:
+def log_tables(
+    entries: DataFrame, overrides: DataFrame | None = None, zone: str | None = None
+) -> Tables:
     """All canonical tables of a log. Store them first if many results are wanted."""
     lifecycle = build_lifecycle(entries, zone)
     return Tables(
@@ -303,6 +358,22 @@ def log_tables(entries: DataFrame, overrides: DataFrame | None = None, zone: str
     )
 
 
+def ingest_log(
+    spark: SparkSession, paths: str | Sequence[str], folder: str, overrides: DataFrame | None = None,
+    zone: str | None = None, multiline: bool = True,
+) -> Tables:
+    """Parse a log once, write its canonical tables to ``folder`` and read them from there.
+
+    Raises if the log holds no readable entry.
+    """
+    entries = read_event_log(spark, paths, multiline)
+    parsed = f"{folder}/entries"
+    entries.write.parquet(parsed)
+    kept = require_entries(spark.read.parquet(parsed))
+    write_raw(log_tables(kept, zone=zone), folder, by_day=False)
+    return read_canonical(spark, folder, overrides)
+
+
 def log_days(entries: DataFrame) -> DataFrame:
     """Files that make up each day: ``label, files``."""
     return entries.groupBy("label").agg(F.count_distinct("row_id.file").alias("files"))

@@ -7,12 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationflow import schemas as S
 from stationflow.functions.stats import finite
 from stationflow.tables import Tables
 
-RAW_NAMES = {"callback": "cb_raw", "station_event": "st_raw", "lifecycle": "lc_raw"}
-
-
 def json_safe(df: DataFrame) -> DataFrame:
     """NaN and infinite numbers become NULL; times are written as ISO text."""
     numbers = [n for n, kind in df.dtypes if kind in ("double", "float")]
@@ -22,8 +20,14 @@ def json_safe(df: DataFrame) -> DataFrame:
 def write_result(
     df: DataFrame, path: str, fmt: str = "parquet", by_day: bool = True, mode: str = "errorifexists"
 ) -> None:
-    """Write one result, a folder per ``op_day`` if it has that column."""
+    """Write one result, a folder per ``op_day`` if it has that column.
+
+    Rows are dealt by day before they are written: a small day is one file, and a large
+    one is split by its size.
+    """
     out = json_safe(df) if fmt == "json" else df
+    if by_day and "op_day" in df.columns:
+        out = out.hint("rebalance", "op_day")
     writer = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -41,5 +45,5 @@ def write_results(results: Mapping[str, DataFrame], folder: str, **options) -> N
 
 def write_raw(t: Tables, folder: str, **options) -> None:
     """The canonical tables as they are."""
-    tables = {out: getattr(t, name) for name, out in RAW_NAMES.items()}
+    tables = {out: getattr(t, name) for name, out in S.RAW_NAMES.items()}
     write_results({n: df for n, df in tables.items() if df is not None}, folder, **options)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +14,25 @@ from stationflow.tables import Tables
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet unless the path ends in ``.csv`` or ``.json``."""
+    """Parquet unless the path ends in ``.csv`` or ``.json``.
+
+    ``row_id`` is the place of a row in its file, whatever task reads it; rows of one
+    split keep their order.
+    """
     end = path.rstrip("/")
     if end.endswith(".csv"):
-        return spark.read.option("header", True).csv(path)
-    if end.endswith(".json"):
-        return spark.read.json(path)
-    return spark.read.parquet(path)
+        df = spark.read.option("header", True).csv(path)
+    elif end.endswith(".json"):
+        df = spark.read.json(path)
+    else:
+        df = spark.read.parquet(path)
+    if "row_id" in df.columns:
+        return df
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return df.select("*", place.alias("row_id"))
 
 
 def recognise(columns: Sequence[str]) -> str | None:
@@ -34,19 +46,28 @@ def recognise(columns: Sequence[str]) -> str | None:
     return "lifecycle" if timed else None
 
 
+def _named(df: DataFrame, name: str) -> DataFrame:
+    return df if "source" in df.columns else df.withColumn("source", F.lit(name))
+
+
 def identify(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Kind -> table: by columns, else by name. Only schemas are looked at.
 
-    Callback and station must be there; lifecycle is optional.
+    Several tables of a kind are united by column name; ``source`` keeps the name each
+    row came from. Callback and station must be there; lifecycle is optional.
     """
-    kinds: dict[str, DataFrame] = {}
-    for df in tables.values():
+    found: dict[str, list[DataFrame]] = {}
+    for name, df in tables.items():
         kind = recognise(df.columns)
         if kind:
-            kinds[kind] = df
+            found.setdefault(kind, []).append(_named(df, name))
     for kind, name in S.FALLBACK_NAMES.items():
-        if kind not in kinds and name in tables:
-            kinds[kind] = tables[name]
+        if kind not in found and name in tables:
+            found[kind] = [_named(tables[name], name)]
+    kinds = {
+        kind: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        for kind, parts in found.items()
+    }
     missing = [k for k in ("callback", "station") if k not in kinds]
     if missing:
         raise ValueError(
@@ -79,7 +100,7 @@ def _canonical(
         value = F.col(f"`{found}`").cast("string") if found else F.lit(None).cast("string")
         return value.try_cast(kinds[new]).alias(new)
 
-    given = [c for c in ("op_day", "row_id") if c in df.columns]
+    given = [c for c in ("op_day", "row_id", "source") if c in df.columns]
     out = df.select(
         *given,
         *[column(old, new) for old, new in source.items()],
@@ -89,7 +110,8 @@ def _canonical(
         out = out.withColumn("op_day", F.to_date(time))
     if "row_id" not in given:
         out = out.withColumn("row_id", F.monotonically_increasing_id())
-    return out.select("op_day", "row_id", *source.values(), *extra)
+    kept = ["source"] if "source" in given else []
+    return out.select("op_day", "row_id", *source.values(), *extra, *kept)
 
 
 def canonical_callback(df: DataFrame) -> DataFrame:
@@ -114,13 +136,15 @@ def used_stages(df: DataFrame) -> list[str]:
     return [c for i, c in enumerate(stages) if counts[str(i)]]
 
 
-def stage_label(column: str) -> str:
-    """English label: the known one, else split where the ASCII prefix ends."""
-    prefix = column.replace(S.STAGE_SUFFIX, "").strip()
-    if prefix in S.STAGE_LABELS:
-        return S.STAGE_LABELS[prefix]
-    match = re.fullmatch(r"([A-Za-z0-9]+)(.+)", prefix)
-    return " - ".join(match.groups()) if match else prefix
+def stage_label(stage: Column, labels: Mapping[str, str] = S.STAGE_LABELS) -> Column:
+    """Label of a stage column: from the table of labels, else its name without the unit.
+
+    A name without a label that starts with a fleet code gets a dash behind the code.
+    """
+    bare = F.trim(F.replace(stage, F.lit(S.STAGE_SUFFIX), F.lit("")))
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    dashed = F.regexp_replace(bare, r"^([A-Za-z0-9]+)(?=[^A-Za-z0-9])", "$1 - ")
+    return F.coalesce(F.try_element_at(known, bare), dashed)
 
 
 def leg_column(
@@ -149,13 +173,15 @@ def canonical_lifecycle(
     return _canonical(df, S.LIFECYCLE, S.LIFECYCLE_COLUMNS, "completed_ts", **extra)
 
 
-def lifecycle_stages(df: DataFrame, stages: Sequence[str] | None = None) -> DataFrame:
+def lifecycle_stages(
+    df: DataFrame, stages: Sequence[str] | None = None, labels: Mapping[str, str] = S.STAGE_LABELS
+) -> DataFrame:
     """Long stage rows ``op_day, task, ..., stage, stage_label, stage_ord, seconds``."""
     stages = stage_columns(df.columns) if stages is None else stages
     cells = [
         F.struct(
             F.lit(c).alias("stage"),
-            F.lit(stage_label(c)).alias("stage_label"),
+            stage_label(F.lit(c), labels).alias("stage_label"),
             F.lit(i).alias("stage_ord"),
             _number(c).alias("seconds"),
         )
@@ -178,14 +204,39 @@ def read_tables(
     """Read named tables, tell which is which and make them canonical."""
     kinds = identify({name: read_table(spark, path) for name, path in paths.items()})
     events = canonical_station(kinds["station"])
-    robot_type = Tables(events, overrides=overrides, given_type=robot_type).robot_type
+    # The delivery leg of a table is that of its main type; events go by the type of their day.
+    main_type = Tables(events, overrides=overrides, given_type=robot_type).robot_type
     lifecycle = stage = None
     if "lifecycle" in kinds:
         raw = kinds["lifecycle"]
         stages = used_stages(raw)
-        lifecycle = canonical_lifecycle(raw, robot_type, stages)
+        lifecycle = canonical_lifecycle(raw, main_type, stages)
         stage = lifecycle_stages(raw, stages) if stages else None
     return Tables(
         events, canonical_callback(kinds["callback"]), lifecycle, stage, overrides,
         given_type=robot_type,
     )
+
+
+def read_canonical(
+    spark: SparkSession, folder: str, overrides: DataFrame | None = None, fmt: str = "parquet",
+    robot_type: str | None = None,
+) -> Tables:
+    """The canonical tables that ``sinks.write_raw`` wrote; tables that are not there stay out.
+
+    A table is looked for by its folder name through Spark's own file system.
+    """
+    kinds = {"station_event": S.STATION_EVENT, "callback": S.CALLBACK, "lifecycle": S.LIFECYCLE, "stage": S.LIFECYCLE_STAGE}
+    found: dict[str, DataFrame] = {}
+    for name, out in S.RAW_NAMES.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{out}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            continue
+        df = spark.read.option("header", True).format(fmt).load(f"{folder}/{out}")
+        types = {f.name: f.dataType for f in kinds[name].fields if f.name != "row_id"}
+        found[name] = df.select(
+            *[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
+        )
+    if not found:
+        raise ValueError(f"no canonical table lies in {folder}")
+    return Tables(**found, overrides=overrides, given_type=robot_type)

@@ -57,13 +57,24 @@ class Tables:
                 return chosen["value"]
         return detect_robot_type(self.station_event).first()["robot_type"]
 
+    @cached_property
+    def day_types(self) -> DataFrame | str | None:
+        """The delivery type of each ``op_day``: a type that is given or set holds for all days."""
+        if self.given_type is not None:
+            return self.given_type
+        if self.settings is not None:
+            chosen = self.settings.where("kind = 'robot_type'").select("value").first()
+            if chosen is not None:
+                return chosen["value"]
+        return settle(detect_robot_type(self.station_event, ["op_day"]))
+
     def located(self) -> DataFrame:
         """Station events of all robots, with ``station``."""
         return with_station(self.station_event, self.stations)
 
     def delivery(self) -> DataFrame:
         """Station events of the delivery robots, with ``station``."""
-        return with_station(of_type(self.station_event, self.robot_type), self.stations)
+        return with_station(of_type(self.station_event, self.day_types), self.stations)
 
     def completions(self) -> DataFrame:
         return completions(self.delivery())
