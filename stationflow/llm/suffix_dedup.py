@@ -33,15 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import bounded_batches
+from stationflow.llm.common import bounded_batches, cut
 from stationflow.llm.suffix_sort import deep_shallow
 
 LENGTH = 200
 GRAM = 32
-LARGE = 2048
+LARGE = 65_536
+SLICE = 16
 SEGMENT = 1 << 23
 _PLACE_BITS = 24
 _STEPS = ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9), (8, 0x85EBCA77C2B2AE63), (16, 0x27D4EB2F165667C5))
@@ -120,14 +121,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text, edges -> per edge anchor the bytes before and after it."""
+    """doc_id, key, text, edges -> per edge anchor the bytes before and after it, once per text."""
+    seen: set[bytes] = set()
     for batch in batches:
         rows = []
-        for key, text, edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, key, text, edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key in seen:
+                continue
+            seen.add(key)
             data = text.encode("utf-8", "surrogatepass")
             for e in edges:
-                p, a, b = e["place"], e["first"], e["last"]
-                rows.append((e["gram"], e["large"], key, p, p - b, data[a:p], data[p : b + LENGTH]))
+                p, a, b = e["place"], e["begin"], e["stop"]
+                rows.append((e["gram"], e["large"], key, p, p - b + LENGTH, data[a:p], data[p:b]))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         names = ["gram", "large", "key", "place", "low", "before", "after"]
@@ -157,21 +162,24 @@ def equal_windows(low: list[int], before: list[bytes], after: list[bytes]) -> li
         return out
     high = np.array([len(s) for s in before])
     lows = np.array(low)
-    distance = np.arange(lows.min(), high.max() + 1)[:, None]
-    right, left = np.empty((len(distance), d), np.int64), np.empty((len(distance), d), np.int64)
-    right[:, order_after] = (np.array(shared_after)[None, :] < LENGTH - distance).cumsum(axis=1)
-    left[:, order_before] = (np.array(shared_before)[None, :] < distance).cumsum(axis=1)
-    kind = right * (d + 1) + left
-    own = (distance >= lows) & (distance <= high)
-    kind[~own] = -1 - np.broadcast_to(np.arange(d), kind.shape)[~own]
-    order = np.argsort(kind, axis=1, kind="stable")
-    sorted_kind = np.take_along_axis(kind, order, axis=1)
-    same = sorted_kind[:, 1:] == sorted_kind[:, :-1]
-    twice = np.zeros(kind.shape, bool)
-    twice[:, 1:] |= same
-    twice[:, :-1] |= same
-    equal = np.zeros(kind.shape, bool)
-    np.put_along_axis(equal, order, twice, axis=1)
+    base, top = int(lows.min()), int(high.max())
+    equal = np.zeros((top + 1 - base, d), bool)
+    after_steps, before_steps = np.array(shared_after), np.array(shared_before)
+    for begin in range(base, top + 1, SLICE):  # a bounded part of distances by anchors at once
+        distance = np.arange(begin, min(begin + SLICE, top + 1))[:, None]
+        right, left = np.empty((len(distance), d), np.int64), np.empty((len(distance), d), np.int64)
+        right[:, order_after] = (after_steps[None, :] < LENGTH - distance).cumsum(axis=1)
+        left[:, order_before] = (before_steps[None, :] < distance).cumsum(axis=1)
+        kind = right * (d + 1) + left
+        own = (distance >= lows) & (distance <= high)
+        kind[~own] = -1 - np.broadcast_to(np.arange(d), kind.shape)[~own]
+        order = np.argsort(kind, axis=1, kind="stable")
+        sorted_kind = np.take_along_axis(kind, order, axis=1)
+        same = sorted_kind[:, 1:] == sorted_kind[:, :-1]
+        twice = np.zeros(kind.shape, bool)
+        twice[:, 1:] |= same
+        twice[:, :-1] |= same
+        np.put_along_axis(equal[begin - base : begin - base + len(distance)], order, twice, axis=1)
     out = []
     for x in range(d):
         hits = np.flatnonzero(equal[:, x])
@@ -180,7 +188,6 @@ def equal_windows(low: list[int], before: list[bytes], after: list[bytes]) -> li
             continue
         cuts = np.flatnonzero(np.diff(hits) > 1)
         begins, ends = hits[np.concatenate(([0], cuts + 1))], hits[np.concatenate((cuts, [len(hits) - 1]))]
-        base = int(distance[0, 0])
         out.append([(base + int(i), base + int(j)) for i, j in zip(begins, ends, strict=True)])
     return out
 
@@ -255,15 +262,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _runs(ranges: Column) -> Column:
+    """Join ordered ranges that touch; both their ends rise, as those of anchors do."""
+    firsts = F.filter(ranges, lambda r, k: (k == 0) | (r["begin"] > F.get(ranges, k - 1)["stop"]))
+    lasts = F.filter(ranges, lambda r, k: (k == F.size(ranges) - 1) | (F.get(ranges, k + 1)["begin"] > r["stop"]))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["begin"].alias("begin"), b["stop"].alias("stop")))
+
+
 def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """``texts`` (key, text; key the MD5 of the text) to ranges (key, begin, stop) of bytes that go."""
+    """``texts`` (doc_id, text, key; key the MD5 of the text) to ranges (key, begin, stop) of bytes that go."""
     whole = (
         texts.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("stop"))
         .where(f"n > 1 AND stop >= {LENGTH}")
         .select("key", F.lit(0).cast("long").alias("begin"), "stop")
     )
-    found = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(
+    found = texts.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(
         _anchor_rows, "gram long, stretch long, key binary, place long, first long, last long"
     ).repartition("gram")  # one exchange serves the windows over (gram, stretch) and over gram
     of_gram, of_stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "stretch")
@@ -284,28 +298,28 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         .where("all > 1")
     )
     edge = (F.col("nth") == 1) & (F.col("single") > 0)
+    begin, stop = F.col("first").cast("int"), (F.col("last") + LENGTH).cast("int")
     per_text = (
         met.select(
             "key",
-            (F.col("twins") > 1).alias("known"),
-            edge.alias("edge"),
-            F.struct(
-                "gram", (F.col("fetched") > LARGE).alias("large"), "place", "first", "last"
-            ).alias("e"),
+            F.when(F.col("twins") > 1, F.struct(begin.alias("begin"), stop.alias("stop"))).alias("known"),
+            F.when(
+                edge,
+                F.struct(
+                    "gram", (F.col("fetched") > LARGE).alias("large"), F.col("place").cast("int").alias("place"),
+                    begin.alias("begin"), stop.alias("stop"),
+                ),
+            ).alias("edge"),
         )
-        .where("known OR edge")
+        .where("known IS NOT NULL OR edge IS NOT NULL")
         .groupBy("key")
-        .agg(
-            F.collect_list(F.when(F.col("edge"), F.col("e"))).alias("edges"),
-            F.collect_list(
-                F.when(F.col("known"), F.struct(F.col("e.first").alias("begin"), (F.col("e.last") + LENGTH).alias("stop")))
-            ).alias("known"),
-        )
+        .agg(F.collect_list("edge").alias("edges"), F.sort_array(F.collect_list("known")).alias("known"))
+        .withColumn("known", _runs(F.col("known")))
     )
+    per_text = cut(per_text)
     edges = (
         texts.join(per_text.where(F.size("edges") > 0).select("key", "edges"), "key")
-        .dropDuplicates(["key"])
-        .select("key", "text", "edges")
+        .select("doc_id", "key", "text", "edges")  # the columns of the last join, so that one exchange serves both
         .mapInArrow(
             _surroundings, "gram long, large boolean, key binary, place long, low long, before binary, after binary"
         )
@@ -320,7 +334,9 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     )
     common = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     from_hashes = windows.join(common, "window").select("key", "begin", (F.col("begin") + LENGTH).alias("stop"))
-    known = per_text.select("key", F.explode("known").alias("r")).select("key", "r.begin", "r.stop")
+    known = per_text.select("key", F.explode("known").alias("r")).select(
+        "key", F.col("r.begin").cast("long").alias("begin"), F.col("r.stop").cast("long").alias("stop")
+    )
     return whole.union(known).union(from_sort).union(from_hashes)
 
 
@@ -329,9 +345,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "key", F.unhex(F.md5("text"))
-    )
+    ).where("key IS NOT NULL")  # always; said here so that both joins read the same
     ranges = (
-        repeated_ranges(read.select("key", "text"))
+        repeated_ranges(read)
         .groupBy("key")
         .agg(F.collect_list(F.struct("begin", "stop")).alias("ranges"))
     )
