@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
@@ -16,6 +18,11 @@ MOST_KEPT = 1_500_000
 TOGETHER = 256
 # White space other than single spaces and line feeds inside the text.
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+# Bytes that byte-level vocabularies write as themselves. Fixed values.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_OF = {chr(b): b for b in _PRINTED} | {
+    chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _PRINTED)
+}
 _MARKS = ".,!?;:%*$&|#)"
 
 
@@ -28,7 +35,8 @@ class Encoder:
     before it, and of its line feeds. Words are remembered. It also cuts between a
     letter or digit and a mark, so a word with marks at its end needs no new encoding
     when the word is known. New words are encoded together, one per line: no word holds
-    a line feed, so its ids stand between those of line feeds.
+    a line feed, so its ids stand between those of line feeds. Where the vocabulary's ids
+    rank its merges, new words are merged by the faster library over the same vocabulary.
     """
 
     def __init__(self, path: str | None = None):
@@ -39,16 +47,35 @@ class Encoder:
         self.line = self._whole("\n")
         pieces = type(self.tokenizer.pre_tokenizer).__name__
         self.by_word = pieces == "ByteLevel" and self.tokenizer.normalizer is None and len(self.line) == 4
+        self.merger = self._merger() if self.by_word else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _merger(self) -> tiktoken.Encoding | None:
+        """The same merges in the faster library, where ids rank the merges as there."""
+        model = json.loads(self.tokenizer.to_str())["model"]
+        raw = {token: self._bytes(token) for token in model["vocab"]}
+        base = [k for token, k in model["vocab"].items() if len(token) == 1]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in pairs]
+        if len(base) != 256 or made != list(range(256, 256 + len(made))) or sorted(base) != list(range(256)):
+            return None
+        ranks = {raw[t]: k for t, k in model["vocab"].items() if k < 256 + len(made)}
+        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _bytes(token: str) -> bytes:
+        """Byte-level vocabularies write bytes that do not print as characters from 256 on, in order."""
+        return bytes(_BYTE_OF.get(c, 0) for c in token)
+
     def _encode(self, known: dict[str, bytes], before: str, words: list[str]) -> None:
         line = np.frombuffer(self.line, np.uint32)[0]
         for at in range(0, len(words), TOGETHER):
             part = words[at : at + TOGETHER]
-            raw, begin = self._whole("\n".join([before + w for w in part])), 0
-            ids = np.frombuffer(raw, np.uint32)
+            together = "\n".join([before + w for w in part])
+            raw = np.array(self.merger.encode_ordinary(together), np.uint32).tobytes() if self.merger else self._whole(together)
+            ids, begin = np.frombuffer(raw, np.uint32), 0
             ends = np.append(np.flatnonzero(ids == line), len(ids)) * 4
             for w, end in zip(part, ends.tolist(), strict=True):
                 known[w] = raw[begin:end]
