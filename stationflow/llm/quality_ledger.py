@@ -127,7 +127,10 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_l
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: ``keep``, the measurements, and ``failed_bits`` (bit k: rule k of RULES)."""
-    measured = measure(docs.select(*keep, F.col(text)), text)
+    # The generator keeps a later filter on a rule from repeating the measurements below it.
+    measured = measure(docs.select(*dict.fromkeys([*keep, text])), text).select(
+        *keep, F.inline(F.array(F.struct(*MEASURES)))
+    )
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(_rules()):
         bits = bits.bitwiseOR(F.when(rule.fails, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
