@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the fitted rates say."""
-    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    """Documents as often as the fitted rates say; no domain is drawn up to its target by copies."""
+    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"), at_most=True).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,8 +215,13 @@ def _totals(steps: list[np.ndarray]):
     return sums
 
 
-def fit_rates(scores: DataFrame, targets: dict[str, float], anchor: str = ANCHOR) -> list[np.ndarray]:
-    """The steps of the projected gradient; each pass sums 15 numbers over all documents."""
+def fit_rates(
+    scores: DataFrame, targets: dict[str, float], anchor: str = ANCHOR, at_most: bool = False
+) -> list[np.ndarray]:
+    """The steps of the projected gradient; each pass sums 15 numbers over all documents.
+
+    With ``at_most`` a domain that has less than its target keeps what it has.
+    """
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     share = share / share.sum()
     k, n = DOMAINS.index(anchor), len(DOMAINS)
@@ -230,6 +235,8 @@ def fit_rates(scores: DataFrame, targets: dict[str, float], anchor: str = ANCHOR
         if mass[k] <= 0 or share[k] <= 0:
             return steps
         goal = share * mass[k] / share[k]
+        if at_most:
+            goal = np.minimum(goal, mass)
         gap = now - goal
         if np.abs(gap).max() <= CLOSE * goal.sum():
             return steps
@@ -269,13 +276,13 @@ def _rate_of_texts(model, steps: list[np.ndarray], position: int):
     return add
 
 
-def _learn(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int):
+def _learn(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int, at_most: bool = False):
     spark = docs.sparkSession
     bounded_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, sample))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     scores = cut(read.mapInArrow(_scored(model), SCORES))
-    return model, scores, fit_rates(scores, targets)
+    return model, scores, fit_rates(scores, targets, at_most=at_most)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
@@ -286,10 +293,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 
 def mixed_documents(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE
+    docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] = TARGETS,
+    sample: int = SAMPLE,
+    at_most: bool = False,
 ) -> DataFrame:
     """The documents themselves, each as often as ``copies`` says; all columns as they were."""
-    model, _, steps = _learn(docs, labels, targets, sample)
+    model, _, steps = _learn(docs, labels, targets, sample, at_most)
     names, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema.fields]
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     schema = ", ".join(f"c{k} {kind}" for k, kind in enumerate(kinds)) + ", rate double, p double"
