@@ -217,7 +217,8 @@ def test_packing(hard, none, docs_of):
     check_packing(packing.pack(hard).collect(), HARD, 2048)
     pairs = made_up(200)
     rows = packing.pack(docs_of(pairs), capacity=128).collect()
-    assert check_packing(rows, pairs, 128) <= 1 + 1.02 * sum(r.length for r in rows) / 128
+    least = max(sum(r.length for r in rows) / 128, sum(r.length > 64 for r in rows))
+    assert check_packing(rows, pairs, 128) <= 2 + 1.05 * least
     assert packing.pack(none).count() == 0
 
 
