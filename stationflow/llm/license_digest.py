@@ -29,9 +29,8 @@ SPELLINGS = (
     ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
     ("per cent", "percent"), ("favour", "favor"), ("whilst", "while"), ("wilful", "willful"),
 )
-_COPYRIGHT = r"(?m)^[ \t>*#/-]*(copyright|\(c\)|©)[^\n]*$"
-_RESERVED = r"(?m)^[ \t>*#/-]*all rights reserved\.?[ \t]*$"
-_PUNCTUATION = r"[^a-z0-9\n]+"
+_COPYRIGHT = r"(?md)^[ \t>*#/-]*(copyright|\(c\)|©)[^\n]*$"
+_RESERVED = r"(?md)^[ \t>*#/-]*all rights reserved\.?[ \t]*$"
 
 
 def canonical(text: Column) -> Column:

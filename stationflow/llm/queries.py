@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stationflow.llm import (
     legacy_archive,
     license_digest,
+    license_texts,
     mixing,
     packing,
     pii,
@@ -37,7 +38,7 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM d
 ), g AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, w[i:i+4]) AS n
@@ -107,6 +108,42 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    form = f"lower(regexp_replace({text}, '\\r\\n?', chr(10), 'g'))"
+    for pattern in (
+        r"(?m)^[ \t>*#/-]*(copyright|\(c\)|©)[^\n]*$",
+        r"(?m)^[ \t>*#/-]*all rights reserved\.?[ \t]*$",
+    ):
+        form = f"regexp_replace({form}, {_quoted(pattern)}, '', 'g')"
+    form = f"(' ' || regexp_replace({form}, '[^a-z0-9]+', ' ', 'g') || ' ')"
+    for other, usual in license_digest.SPELLINGS:
+        form = f"replace({form}, ' {other} ', ' {usual} ')"
+    return f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
+
+
+def _op4_sql() -> str:
+    texts = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in license_texts.TEXTS.items())
+    notices = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, all_of in license_texts.NOTICES.items() for t in all_of)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+known_text AS (SELECT DISTINCT license, sha256({_canonical_sql("t")}) AS digest FROM (VALUES {texts}) k(license, t)),
+known_notice AS (SELECT DISTINCT license, sha256({_canonical_sql("t")}) AS digest FROM (VALUES {notices}) k(license, t)),
+line AS (SELECT r, unnest(string_split(t, chr(10))) AS t FROM d),
+named AS (
+  SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notice_ids
+  FROM line JOIN known_notice ON sha256({_canonical_sql("line.t")}) = digest
+  WHERE regexp_matches(lower(line.t), 'licen[sc]e') GROUP BY r
+)
+SELECT doc_id, sha256({_canonical_sql("d.t")}) AS canonical_sha256, license AS license_id,
+  coalesce(notice_ids, '') AS notice_ids
+FROM d LEFT JOIN known_text ON sha256({_canonical_sql("d.t")}) = digest LEFT JOIN named USING (r)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_legacy_archive": op1_legacy_archive,
@@ -124,5 +161,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_license_digest": _op4_sql(),
         "op9_quality_ledger": _OP9_SQL,
     }
