@@ -445,6 +445,16 @@ SQL: dict[str, tuple[str, str]] = {
         "op_day row_id:i ts event_type location_code robot_id robot_type",
         "SELECT * FROM station_event",
     ),
+    "s13_read_back_stages": (
+        "op_day stage stage_label stage_ord:i median_s:d share:d total_median_s:d",
+        """SELECT m.*, median_s / nullif(sum(median_s) OVER (PARTITION BY m.op_day), 0) AS share,
+                  total_median_s
+           FROM (SELECT op_day, stage, stage_label, stage_ord,
+                        coalesce(median(seconds) FILTER (WHERE seconds >= 0 AND seconds < 3600), 0)
+                            AS median_s FROM stage GROUP BY ALL) m
+           LEFT JOIN (SELECT op_day, median(total_s) AS total_median_s FROM cycle GROUP BY ALL) c
+             ON c.op_day = m.op_day""",
+    ),
     "v3_quality_report": (
         'severity "table" "check" detail',
         """SELECT 'warning' AS severity, x.a AS "table", x.b AS "check", x.c AS detail

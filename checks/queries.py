@@ -78,6 +78,17 @@ def _read_log(spark: SparkSession, sf: str, multiline: bool) -> DataFrame:
     return _entry_rows(eventlog.read_event_log(spark, path, multiline)).drop("label")
 
 
+def _on_read_back(fn: Callable[[Tables], DataFrame]) -> Query:
+    """On the canonical tables, written and read again."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        folder = _scratch(spark)
+        sinks.write_raw(A.tables(spark, sf), folder, by_day=False)
+        return tidy(fn(source_tables.read_canonical(spark, folder)))
+
+    return query
+
+
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
     ev = A.events(spark, sf)
     raw = {
@@ -199,7 +210,8 @@ def queries() -> dict[str, Query]:
         ),
         "s11_written_csv": lambda spark, sf: _written(spark, sf, throughput.implied_capacity, "csv"),
         "s12_json_safe": _on_tables(_json_rows),
-        "s13_raw_station": _on_tables(lambda t: t.station_event),
+        "s13_raw_station": _on_read_back(lambda t: t.station_event),
+        "s13_read_back_stages": _on_read_back(cycle.stage_shares),
         # Quality
         "v3_quality_report": _quality,
         "v2_few_rows": _few_rows,
