@@ -1,6 +1,6 @@
-import pytest
+"""Odd rows and fixtures for the tests of this folder; the session comes from the folder above."""
 
-from stationflow.session import get_session
+import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Null, empty, one word, very long, ties and repeated rows, white space of all kinds.
@@ -11,19 +11,6 @@ HARD = [
 ]
 
 
-@pytest.fixture(scope="session")
-def spark():
-    session = get_session(
-        "llm-tests",
-        **{
-            "spark.master": "local[4]", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-            "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
-        },
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-
-
 @pytest.fixture(scope="session")
 def docs_of(spark):
     """(doc_id, text) pairs as documents, with a column whose name clashes with inner ones."""

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from cases import HARD, docs_of, hard, none  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -212,8 +213,6 @@ def check_packing(rows, texts, capacity):
 
 
 def test_packing(hard, none, docs_of):
-    from conftest import HARD
-
     check_packing(packing.pack(hard).collect(), HARD, 2048)
     pairs = made_up(200)
     rows = packing.pack(docs_of(pairs), capacity=128).collect()
@@ -294,8 +293,6 @@ def test_equal_windows_small_and_large_agree():
 
 
 def test_token_spans(hard, none, docs_of, spark):
-    from conftest import HARD
-
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     pairs = HARD + made_up(20)
