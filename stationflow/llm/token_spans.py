@@ -6,9 +6,10 @@ section is a span of characters of its document; sections of one document are or
 and do not overlap. Tokens and sections are joined as intervals by binary search of the
 section ends, so no pair of a token and a section it misses is made.
 
-Rule for a token that crosses a border: it counts for the section that holds its first
-character. A token whose first character lies in no section counts for none. A
-character that is split between tokens belongs to the token that holds its first byte.
+Rule for every token: its first character is the one that holds its first byte, and it
+counts for the section that holds this character; so the tokens of a split character all
+count where the character lies, and the line counts of a text add up to its tokens. A
+token whose first character lies in no section counts for none.
 
 Nothing is shuffled for lines; other sections meet their document by doc_id.
 
@@ -45,18 +46,16 @@ def token_lengths(tokens: Encoder) -> np.ndarray:
 
 
 def character_spans(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First characters and ends (exclusive) of tokens with these byte lengths."""
+    """Characters that hold the first bytes, and ends (exclusive), of tokens with these byte lengths."""
     stop = np.cumsum(lengths)
     start = stop - lengths
     starts_character = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
     before = np.concatenate(([0], np.cumsum(starts_character)))
-    return before[start], before[stop]
+    return before[start + 1] - 1, before[stop]
 
 
 def share_out(first: np.ndarray, end: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, crossing tokens) of each section; sections ordered and apart."""
-    real = end > first
-    first, end = first[real], end[real]
     section = np.searchsorted(stops, first, side="right")
     inside = section < len(stops)
     section, first, end = section[inside], first[inside], end[inside]

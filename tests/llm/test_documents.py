@@ -319,6 +319,26 @@ def test_token_spans(hard, none, docs_of, spark):
     assert token_spans.tokens_by_line(none).count() == 0
 
 
+def test_tokens_of_split_characters(docs_of, spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["안녕하세요 세계", "日本語", "🙂🙃", "日本\n語 한국어\n🙂 plain é\n", "漢字\n漢字"]
+    whole = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sum(whole) > sum(len(t) for t in texts)
+    got = defaultdict(list)
+    for r in token_spans.tokens_by_line(docs_of(list(enumerate(texts)))).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append(r.n_tokens)
+    assert [sum(got[k]) for k in range(len(texts))] == whole
+    # A line feed is one token and never merges with a letter, so each line counts alone.
+    assert got[4] == [whole_of(tokenizer, "漢字") + 1, whole_of(tokenizer, "漢字")]
+    each = spark.createDataFrame([(1, k, k, k + 1) for k in range(3)], "doc_id long, section long, start long, stop long")
+    rows = token_spans.tokens_by_section(docs_of([(1, texts[1])]), each).collect()
+    assert sum(r.n_tokens for r in rows) == whole[1] and min(r.n_tokens for r in rows) >= 1
+
+
+def whole_of(tokenizer, text):
+    return len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_license_digests(hard, none, docs_of):
     mit = license_texts.TEXTS["MIT"].replace("MIT License\n", "MIT LICENCE\n\nCopyright (c) 2020 Some One\n").replace("\n", "\r\n")
     pairs = [(1, mit), (2, mit + " more"), (3, "text\nlicensed under the  APACHE licence version 2 0\nend"), (4, "!!!"), (5, "a license line")]
