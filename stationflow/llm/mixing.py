@@ -7,7 +7,7 @@ every document its domain posteriors. It is fitted on at most ``sample`` labelle
 by domain, the ``KEPT`` buckets that tell most are kept, and the sample's rows over
 these buckets, at most ``sample * KEPT`` bits, are fitted on the driver.
 
-Rates r >= 0 per document are fitted by projected gradient on the squared gaps between
+Rates r >= 0 (or 1, see below) per document are fitted by projected gradient on the squared gaps between
 sum_i r_i * tokens_i * p_i(domain) and the target totals, from r = 1. A step changes a
 rate by its own posteriors times the gaps, so a rate follows from the list of gaps so
 far: an iteration is one pass over a compact table (tokens and posteriors), sums a few
@@ -15,9 +15,10 @@ numbers per partition, and stores no state per document. Tokens are words here
 (``[^\\x20\\x09-\\x0D]+``).
 
 The target total is set by the anchor domain, which keeps its own mass; so documents
-of that domain get rates near one. ``copies`` rounds a rate up or down by a fixed hash
-of doc_id; rates within ``BAND`` of one are taken as one, and a document that more
-likely than not belongs to the anchor domain is not left out.
+of that domain get rates near one. A document that more likely than not belongs to the
+anchor domain is not left out: its rate is at least 1, a bound inside the fit. ``copies``
+rounds a rate up or down by a fixed hash of doc_id and nothing else, so the expected
+copies are the rates, and the totals fitted are those emitted.
 
 Defined results: NULL or empty texts have 0 tokens, the prior's posteriors and a rate
 like any other; without labels every posterior is equal and all rates are 1; labels
@@ -48,7 +49,6 @@ STEPS = 60
 CLOSE = 1e-3
 FIT_STEPS = 300
 PENALTY = 1e-4
-BAND = 0.15
 
 
 def traits(words: list[bytes]) -> list[bytes]:
@@ -193,11 +193,17 @@ def _scored(model):
 SCORES = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
 
 
+def least_rates(p: np.ndarray) -> np.ndarray:
+    """1 for documents that more likely than not belong to the anchor domain, else 0."""
+    return (p[:, DOMAINS.index(ANCHOR)] >= 0.5).astype(float)
+
+
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     """The rates of documents with posteriors ``p`` after these gradient steps."""
     r = np.ones(len(p))
+    least = least_rates(p)
     for step in steps:
-        r = np.maximum(0.0, r - p @ step)
+        r = np.maximum(least, r - p @ step)
     return r
 
 
@@ -247,12 +253,10 @@ def fit_rates(
     return steps
 
 
-def _copies(rate: Column, doc_id: Column, p_anchor: Column) -> Column:
+def _copies(rate: Column, doc_id: Column) -> Column:
     chance = F.pmod(F.xxhash64(doc_id, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor(rate)
-    rounded = whole + F.when(chance < rate - whole, 1).otherwise(0)
-    near = (F.abs(rate - 1) <= BAND) | ((rate < 1) & (p_anchor >= 0.5))
-    return F.when(near, F.lit(1).cast("long")).otherwise(rounded)
+    return whole + F.when(chance < rate - whole, 1).otherwise(0)
 
 
 def _rate_column(steps: list[np.ndarray]):
@@ -268,10 +272,9 @@ def _rate_of_texts(model, steps: list[np.ndarray], position: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = [posterior(model.value, features(t)[1]) for t in batch.column(position).to_pylist()]
-            p = np.array(p).reshape(-1, len(DOMAINS))
-            added = [pa.array(rates(p, steps)), pa.array(p[:, DOMAINS.index(ANCHOR)])]
-            names = [*(f"c{k}" for k in range(batch.num_columns)), "rate", "p"]
-            yield pa.record_batch([*batch.columns, *added], names=names)
+            rate = pa.array(rates(np.array(p).reshape(-1, len(DOMAINS)), steps))
+            names = [*(f"c{k}" for k in range(batch.num_columns)), "rate"]
+            yield pa.record_batch([*batch.columns, rate], names=names)
 
     return add
 
@@ -289,7 +292,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """Per document: doc_id, n_tokens, the domain posteriors, rate and copies."""
     _, scores, steps = _learn(docs, labels, targets, sample)
     rated = scores.mapInArrow(_rate_column(steps), f"{SCORES}, rate double")
-    return rated.withColumn("copies", _copies(F.col("rate"), F.col("doc_id"), F.col(f"p_{ANCHOR}")))
+    return rated.withColumn("copies", _copies(F.col("rate"), F.col("doc_id")))
 
 
 def mixed_documents(
@@ -303,11 +306,11 @@ def mixed_documents(
     model, _, steps = _learn(docs, labels, targets, sample, at_most)
     names, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema.fields]
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    schema = ", ".join(f"c{k} {kind}" for k, kind in enumerate(kinds)) + ", rate double, p double"
+    schema = ", ".join(f"c{k} {kind}" for k, kind in enumerate(kinds)) + ", rate double"
     rated = plain.mapInArrow(_rate_of_texts(model, steps, names.index("text")), schema)
-    copies = _copies(F.col("rate"), F.col(f"c{names.index('doc_id')}"), F.col("p"))
+    copies = _copies(F.col("rate"), F.col(f"c{names.index('doc_id')}"))
     return (
         rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-        .drop("rate", "p", "__copy")
+        .drop("rate", "__copy")
         .toDF(*names)
     )

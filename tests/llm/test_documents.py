@@ -371,3 +371,26 @@ def test_mixing(docs_of, spark, hard, none):
     no_labels = mixing.mix(hard, table.limit(0)).collect()
     assert len(no_labels) == HARD_ROWS and {round(r.p_good, 6) for r in no_labels} == {round(1 / 3, 6)}
     assert mixing.mix(none, table).count() == 0
+
+
+def soft_scores(spark, *parts):
+    """Documents of 100 tokens: (how many, posteriors) by part."""
+    rows = [(100, *p) for n, p in parts for _ in range(n)]
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], mixing.SCORES)
+
+
+def rated_copies(scores):
+    rated = scores.mapInArrow(mixing._rate_column(mixing.fit_rates(scores, mixing.TARGETS)), f"{mixing.SCORES}, rate double")
+    return rated.withColumn("copies", mixing._copies(F.col("rate"), F.col("doc_id"))).toPandas()
+
+
+def test_copies_follow_the_rates(spark):
+    scores = soft_scores(spark, (4000, (0.55, 0.40, 0.05)), (7200, (0.98, 0.01, 0.01)), (800, (0.30, 0.45, 0.25)))
+    rows = rated_copies(scores)
+    p = rows[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    fitted, emitted = rows["rate"].to_numpy() @ p, rows["copies"].to_numpy() @ p
+    assert np.abs(fitted / fitted.sum() - emitted / emitted.sum()).max() < 0.003
+    assert (rows["rate"][rows["p_good"] >= 0.5] >= 1).all()
+    some = spark.range(20_000).select(F.col("id"), (F.lit(0.8) + F.col("id") % 5 / 10).alias("rate"))
+    mean = some.groupBy("rate").agg(F.avg(mixing._copies(F.col("rate"), F.col("id"))).alias("copies")).collect()
+    assert all(abs(r.copies - r.rate) < 0.03 for r in mean)
