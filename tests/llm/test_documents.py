@@ -380,7 +380,8 @@ def soft_scores(spark, *parts):
 
 
 def rated_copies(scores):
-    rated = scores.mapInArrow(mixing._rate_column(mixing.fit_rates(scores, mixing.TARGETS)), f"{mixing.SCORES}, rate double")
+    by_cell = scores.sparkSession.sparkContext.broadcast(mixing.fit_rates(scores, mixing.TARGETS))
+    rated = scores.mapInArrow(mixing._rate_column(by_cell), f"{mixing.SCORES}, rate double")
     return rated.withColumn("copies", mixing._copies(F.col("rate"), F.col("doc_id"))).toPandas()
 
 
@@ -394,3 +395,26 @@ def test_copies_follow_the_rates(spark):
     some = spark.range(20_000).select(F.col("id"), (F.lit(0.8) + F.col("id") % 5 / 10).alias("rate"))
     mean = some.groupBy("rate").agg(F.avg(mixing._copies(F.col("rate"), F.col("id"))).alias("copies")).collect()
     assert all(abs(r.copies - r.rate) < 0.03 for r in mean)
+
+
+@pytest.mark.parametrize("last", [(0.98, 0.01, 0.01), (0.02, 0.08, 0.90), (0.30, 0.45, 0.25)])
+def test_soft_posteriors_are_fitted_to_the_end(spark, last):
+    parts = [(1000, (0.45, 0.05, 0.50)), (1800, (0.90, 0.08, 0.02)), (200, last)]
+    rows = rated_copies(soft_scores(spark, *parts))
+    p = rows[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    fitted = 100 * rows["rate"].to_numpy() @ p
+    # Plain projected gradient over the parts, for very long.
+    q, n = np.array([x for _, x in parts]), np.array([100 * k for k, _ in parts])
+    mass, least = q * n[:, None], (q[:, 0] >= 0.5).astype(float)
+    goal = np.array([0.96, 0.03, 0.01]) * mass[:, 0].sum() / 0.96
+    scale, r = 1 / mass.sum(axis=0), np.ones(3)
+    curve = np.linalg.norm(np.sqrt(scale)[:, None] * (mass.T @ q) * np.sqrt(scale), 2)
+    for _ in range(200_000):
+        r = np.maximum(least, r - q @ (scale * (r @ mass - goal)) / curve)
+    assert np.abs(fitted - r @ mass).max() <= 2 * mixing.CLOSE * goal.sum()
+
+
+def test_a_fit_that_does_not_end_is_no_result(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(soft_scores(spark, (100, (0.45, 0.05, 0.50)), (180, (0.90, 0.08, 0.02))), mixing.TARGETS)
