@@ -1,4 +1,9 @@
-"""Public licence texts and notices. Fixed values."""
+"""Public licence texts and notices. Fixed values.
+
+Short texts stand here, long ones as files in ``licenses``.
+"""
+
+from pathlib import Path
 
 _WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
@@ -95,6 +100,16 @@ misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+# Names of licences by their files.
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+TEXTS |= {
+    name: (Path(__file__).parent / "licenses" / f"{file}.txt").read_text(encoding="utf-8") for file, name in _FILES.items()
+}
+
 # Notices by licence, each a line of its own.
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),

@@ -347,6 +347,21 @@ def test_license_digests(hard, none, docs_of):
     assert license_digest.scan(hard).count() == HARD_ROWS and license_digest.scan(none).count() == 0
 
 
+def test_long_licenses_and_given_notices(docs_of, spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    pairs = [(k, license_texts.TEXTS[n].replace("\n", "\r\n")) for k, n in enumerate(names)]
+    got = {r.doc_id: r.license_id for r in license_digest.scan(docs_of(pairs)).collect()}
+    assert got == dict(enumerate(names))
+    notice = "This program is free software under\nthe terms of the Own License\nas published by us."
+    known = spark.createDataFrame(
+        [("Own-1", notice, False), ("Own-2", "The whole Own text.", True), ("Own-3", "the WHOLE own text", True), ("Own-4", "", True)],
+        "license string, text string, whole boolean",
+    )
+    pairs = [(1, f"x = 1\n# {notice.replace(chr(10), chr(10) + '# ')}\nend"), (2, "the whole own text"), (3, notice[:50]), (4, None), (5, "MIT\nLicensed under the MIT License.")]
+    got = {r.doc_id: (r.license_id, r.notice_ids) for r in license_digest.scan(docs_of(pairs), known).collect()}
+    assert got == {1: (None, "Own-1"), 2: ("Own-2", ""), 3: (None, ""), 4: (None, ""), 5: (None, "MIT")}
+
+
 def test_mixing(docs_of, spark, hard, none):
     rnd = random.Random(8)
     pairs, labels = [], []
