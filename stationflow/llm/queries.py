@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm import (
+    decontamination,
     legacy_archive,
     license_digest,
     license_texts,
@@ -17,6 +18,7 @@ from stationflow.llm import (
     prefix_forest,
     prefix_join,
     quality_ledger,
+    sql,
     suffix_dedup,
     token_spans,
 )
@@ -108,6 +110,10 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -156,6 +162,7 @@ def queries() -> dict[str, Query]:
         "op8_prefix_forest": op8_prefix_forest,
         "op9_quality_ledger": op9_quality_ledger,
         "op10_soft_mixing": op10_soft_mixing,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -163,4 +170,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_license_digest": _op4_sql(),
         "op9_quality_ledger": _OP9_SQL,
+        "op13_decontamination": sql.OP13,
     }
