@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Few rows per Arrow batch: texts can be long, and a batch is held in memory whole."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Few rows per Arrow batch for the jobs run inside, and the session's own setting afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

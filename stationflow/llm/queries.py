@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm import (
+    collocations,
     decontamination,
     legacy_archive,
     license_digest,
@@ -110,6 +111,10 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -162,6 +167,7 @@ def queries() -> dict[str, Query]:
         "op8_prefix_forest": op8_prefix_forest,
         "op9_quality_ledger": op9_quality_ledger,
         "op10_soft_mixing": op10_soft_mixing,
+        "op12_collocations": op12_collocations,
         "op13_decontamination": op13_decontamination,
     }
 
@@ -170,5 +176,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_license_digest": _op4_sql(),
         "op9_quality_ledger": _OP9_SQL,
+        "op12_collocations": sql.OP12,
         "op13_decontamination": sql.OP13,
     }

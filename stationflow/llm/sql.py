@@ -32,3 +32,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)
 """
+
+OP12 = r"""
+WITH p AS (
+  SELECT r, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (
+    SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+  )
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, s AS words, array_to_string(w[i:i + s - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(s) WHERE len(w) >= s)
+  GROUP BY ALL HAVING count(*) >= 10
+), cut AS (
+  SELECT lang, words, phrase, f AS a, k, string_split(phrase, ' ') AS w
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM f WHERE words > 1)
+), scored AS (
+  SELECT c.lang, c.words, c.phrase, c.a, k, x.f AS l, y.f AS r,
+    ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT *, unnest([1, 2]) AS i FROM f WHERE words = 3) GROUP BY ALL
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase AND b.words = 2
+  WHERE most IS NULL OR 100 * most < 50 * a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
