@@ -18,6 +18,7 @@ from stationflow.llm import (
     pii,
     prefix_forest,
     prefix_join,
+    prefix_trie,
     quality_ledger,
     sql,
     suffix_dedup,
@@ -111,6 +112,10 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
@@ -167,6 +172,7 @@ def queries() -> dict[str, Query]:
         "op8_prefix_forest": op8_prefix_forest,
         "op9_quality_ledger": op9_quality_ledger,
         "op10_soft_mixing": op10_soft_mixing,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_collocations": op12_collocations,
         "op13_decontamination": op13_decontamination,
     }
@@ -176,6 +182,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_license_digest": _op4_sql(),
         "op9_quality_ledger": _OP9_SQL,
+        "op11_prefix_trie": sql.OP11,
         "op12_collocations": sql.OP12,
         "op13_decontamination": sql.OP13,
     }

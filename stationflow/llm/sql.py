@@ -70,3 +70,45 @@ WITH p AS (
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
 FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
+
+# crc32 of the decimal id, bit by bit, gives the turns taken over.
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, cell) AS p, cell, size
+  FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS size,
+      md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS cell
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+), c AS (
+  SELECT c, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(0, 8 * length(s)), lambda i: i::BIGINT)),
+    lambda a, i: CASE
+      WHEN (CASE WHEN i % 8 = 0 THEN xor(a, ascii(s[(i // 8 + 1)::INT])::BIGINT) ELSE a END) & 1 = 1
+      THEN xor((CASE WHEN i % 8 = 0 THEN xor(a, ascii(s[(i // 8 + 1)::INT])::BIGINT) ELSE a END) >> 1, 3988292384)
+      ELSE (CASE WHEN i % 8 = 0 THEN xor(a, ascii(s[(i // 8 + 1)::INT])::BIGINT) ELSE a END) >> 1 END
+  )) % 9 AS h
+  FROM (SELECT DISTINCT c, c::VARCHAR AS s FROM t)
+), r AS (
+  SELECT c.c, 0 AS part, p, cell, size FROM c JOIN t ON t.c = c.c - c.c % 5 AND p <= h
+  UNION ALL SELECT c.c, 1, p, cell, size FROM c JOIN t ON t.c = c.c AND p > h
+), q AS (
+  SELECT c, row_number() OVER w AS d, size, md5(string_agg(cell, '') OVER w) AS key
+  FROM r WINDOW w AS (PARTITION BY c ORDER BY part, p ROWS UNBOUNDED PRECEDING)
+), path AS (
+  SELECT q.c, d, size, key, lag(key, 1, '') OVER (PARTITION BY q.c ORDER BY d) AS up, max(d) OVER (PARTITION BY q.c) AS last FROM q
+  UNION ALL SELECT c, 0, 0, '', NULL, coalesce(m, 0) FROM c LEFT JOIN (SELECT c, max(d) AS m FROM q GROUP BY c) USING (c)
+), node AS (
+  SELECT key, d, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(size) AS own,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = last), '') AS ends
+  FROM path GROUP BY key, d
+), kid AS (
+  SELECT up AS key, count(*) AS kids FROM node WHERE up IS NOT NULL GROUP BY up
+), sub AS (
+  SELECT a.key, sum(v.own) AS saved, count(*) FILTER (kids IS NULL) AS leaves
+  FROM node v LEFT JOIN kid ON kid.key = v.key JOIN path a ON a.c = v.c AND a.d <= v.d GROUP BY a.key
+)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM node n LEFT JOIN node u ON u.key = n.up LEFT JOIN kid ON kid.key = n.key JOIN sub ON sub.key = n.key
+"""
