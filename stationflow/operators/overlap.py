@@ -30,19 +30,16 @@ def overlap_count(
     unique per interval within ``keys``.
     """
     rest = [c for c in intervals.columns if c not in keys]
-    ends = F.array(
-        F.struct(
-            to_micros(F.col(start)).alias("us"), F.lit(0).alias("side"),
-            F.lit(1).cast("bigint").alias("starts"), F.lit(0).cast("bigint").alias("ends"),
-        ),
-        F.struct(
-            to_micros(F.col(end)).alias("us"), F.lit(1).alias("side"),
-            F.lit(0).cast("bigint").alias("starts"), F.lit(1).cast("bigint").alias("ends"),
-        ),
-    )
+    is_end = F.col("side") == 1
     points = intervals.select(
-        *keys, F.col(ident).alias("_id"), F.struct(*rest).alias("_row"), F.inline(ends)
-    ).withColumn("_row", F.when(F.col("side") == 1, F.col("_row")))
+        *keys, F.col(ident).alias("_id"), F.struct(*rest).alias("_row"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    ).select(
+        *keys, "_id", "side",
+        to_micros(F.when(is_end, F.col("_row")[end]).otherwise(F.col("_row")[start])).alias("us"),
+        F.when(is_end, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("starts"),
+        F.when(is_end, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("ends"),
+        F.when(is_end, F.col("_row")).alias("_row"),
+    )
     counted = running_totals(points, keys, ["us", "side"], ["starts", "ends"], block_s)
     return (
         counted.groupBy(*keys, "_id")

@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from stationflow import schemas as S
 from stationflow.functions.times import seconds_between
-from stationflow.operators.ordered import BLOCK_S, previous_row
+from stationflow.operators.ordered import BLOCK_S, previous_row, run_before
 
 ORDER = ("ts", "row_id")
 
 
-def _of_types(events: DataFrame, keys: Sequence[str], *types: str) -> DataFrame:
-    kept = events.where(F.col("event_type").isin(*types) & F.col("ts").isNotNull())
-    for key in keys:
-        kept = kept.where(F.col(key).isNotNull())
-    return kept
+def _of_types(events: DataFrame, *types: str) -> DataFrame:
+    return events.where(F.col("event_type").isin(*types) & F.col("ts").isNotNull())
 
 
 def pair_events(
@@ -37,20 +34,16 @@ def pair_events(
     is dropped.
     """
     columns = [*keys, "ts", "row_id", "event_type", *[c for c in carry if c not in keys]]
-    rows = _of_types(events, keys, opener, closer).select(*columns)
+    rows = _of_types(events, opener, closer).select(*columns)
     values = [c for c in columns if c not in keys and c != "row_id"]
     if mode == "first_open":
-        # Of a run of equal events only the first one opens or closes.
-        rows = (
-            previous_row(rows, keys, ORDER, ["event_type"], block_s)
-            .where(~F.col("prev.event_type").eqNullSafe(F.col("event_type")))
-            .drop("prev")
-        )
-    elif mode != "last_open":
+        # The run of openers before the closer: its first one is the open one.
+        paired = run_before(rows, keys, ORDER, "event_type", values, block_s)
+    elif mode == "last_open":
+        paired = previous_row(rows, keys, ORDER, values, block_s)
+    else:
         raise ValueError(f"unknown pairing mode {mode!r}")
-    pairs = previous_row(rows, keys, ORDER, values, block_s).where(
-        (F.col("event_type") == closer) & (F.col("prev.event_type") == opener)
-    )
+    pairs = paired.where((F.col("event_type") == closer) & (F.col("prev.event_type") == opener))
     return pairs.select(
         *keys,
         F.col("prev.ts").alias("start_ts"),

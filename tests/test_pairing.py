@@ -4,6 +4,7 @@ from datetime import timedelta
 from conftest import DAY, at
 from pyspark.sql import functions as F
 
+from stationflow.operators.overlap import overlap_count
 from stationflow.operators.pairing import dwell_pairs, pair_events, pick_pairs, switch_pairs
 from stationflow.plans import dwell, switch, throughput
 
@@ -106,3 +107,42 @@ def test_no_task_holds_a_whole_hot_key(spark, make_events):
     plan = pick_pairs(make_events(rows))._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [lag" in line]
     assert windows and all("_block" in line for line in windows)
+
+
+def _exchanges(df):
+    """Leaf scans, and exchanges that are planned anew, of the static plan."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scans = [x for x in lines if "Scan " in x or "Scan[" in x]
+    return len(scans), len([x for x in lines if "REPARTITION_BY_COL" in x and "Reused" not in x]), len([x for x in lines if "ReusedExchange" in x])
+
+
+def test_rows_are_read_and_dealt_out_once(spark, tmp_path, make_events):
+    """One scan and one exchange of the rows serve both the window and the block tails."""
+    make_events([("00:00:01", "arrived", 1, "r")]).drop("row_id").withColumn("row_id", F.lit(1)).write.parquet(f"{tmp_path}/e")
+    ev = spark.read.parquet(f"{tmp_path}/e")
+    for pairs in (pick_pairs(ev), switch_pairs(ev, "location_code"), dwell_pairs(ev)):
+        assert _exchanges(pairs) == (1, 1, 1)
+    rows = ev.select("location_code", "row_id", F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("e"))
+    assert _exchanges(overlap_count(rows, ["location_code"], "row_id", "s", "e")) == (1, 1, 1)
+
+
+def test_a_busy_robot_is_spread(spark, make_events):
+    """A third of all rows belong to one robot; no task gets much more than its share of them."""
+    rows = [(f"{k // 3600:02d}:{k // 60 % 60:02d}:{k % 60:02d}", "arrived" if k // 12 % 2 == 0 else "triggerGo", 1, "busy" if k % 3 == 0 else f"r{k}") for k in range(0, 80_000, 4)]
+    dealt = pick_pairs(make_events(rows)).where("robot_id = 'busy'").groupBy(F.spark_partition_id().alias("p")).count()
+    counts = [r["count"] for r in dealt.collect()]
+    assert len(counts) > 1 and max(counts) < 0.6 * sum(counts)
+
+
+def test_runs_over_many_blocks(make_events):
+    """A run that fills whole blocks keeps its first row."""
+    ev = make_events(
+        [("00:00:01", "release", 1, "r"), ("00:00:02", "arrived", 1, "r"), *[(f"{h:02d}:00:00", "arrived", h, "r") for h in range(1, 9)],
+         ("09:00:00", "release", 1, "r"), ("09:30:00", "release", 1, "r"), ("12:00:00", "arrived", 1, "r"), ("15:00:00", "release", 1, "r")]
+    )
+    assert spans(dwell_pairs(ev)) == [("00:00:02", "09:00:00"), ("12:00:00", "15:00:00")]
