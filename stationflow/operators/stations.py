@@ -120,6 +120,18 @@ def detect_robot_type(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def with_delivers(events: DataFrame, robot_type: str | DataFrame | None) -> DataFrame:
+    """Add ``delivers``: whether ``of_type`` keeps the row."""
+    if robot_type is None:
+        return events.withColumn("delivers", F.lit(True))
+    if isinstance(robot_type, DataFrame):
+        events = events.join(robot_type.select("op_day", F.col("robot_type").alias("_type")), "op_day", "left")
+    else:
+        events = events.withColumn("_type", F.lit(robot_type))
+    delivers = F.col("_type").isNull() | (F.col("robot_type") == F.col("_type"))
+    return events.withColumn("delivers", F.coalesce(delivers, F.lit(False))).drop("_type")
+
+
 def of_type(events: DataFrame, robot_type: str | DataFrame | None) -> DataFrame:
     """Events of one robot type, or of the type of their day; all of them if none is known."""
     if robot_type is None:

@@ -9,6 +9,7 @@ from stationflow import schemas as S
 from stationflow.functions import stats
 from stationflow.functions.text import is_labor
 from stationflow.functions.times import floor_to, minus_seconds
+from stationflow.operators.stations import with_delivers
 from stationflow.operators.overlap import active_at, bin_span, overlap_count
 from stationflow.operators.pairing import dwell_pairs
 from stationflow.operators.quantiles import exact_quantiles
@@ -29,6 +30,16 @@ def leg_rows(t: Tables) -> DataFrame:
 
 def queue_depth(t: Tables) -> DataFrame:
     """Each delivery with the number of deliveries to its station it overlaps."""
+    shared = t.found("queue_depth")
+    return _queue_depth(t) if shared is None else shared
+
+
+def share_depth(t: Tables) -> DataFrame:
+    """The overlap, worked out once; from now on all results start from it."""
+    return t.kept("queue_depth", lambda: _queue_depth(t))
+
+
+def _queue_depth(t: Tables) -> DataFrame:
     rows = leg_rows(t).where(F.col("completed_ts").isNotNull())
     rows = rows.withColumn("start_ts", minus_seconds(F.col("completed_ts"), F.col("leg_s")))
     return overlap_count(
@@ -88,7 +99,7 @@ def depth_box(t: Tables) -> DataFrame:
 def depth_summary(t: Tables) -> DataFrame:
     """Correlation of depth and leg; range and middle of the station medians."""
     x, y = F.col("depth").cast("double"), F.col("leg_s")
-    r = queue_depth(t).groupBy("op_day").agg(stats.corr(x, y).alias("pearson_r"))
+    r = share_depth(t).groupBy("op_day").agg(stats.corr(x, y).alias("pearson_r"))
     low, high = F.min("median").cast("bigint"), F.max("median").cast("bigint")
     medians = depth_box(t).groupBy("op_day").agg(
         low.alias("median_low"),
@@ -100,16 +111,19 @@ def depth_summary(t: Tables) -> DataFrame:
 
 def _robot_events(t: Tables) -> DataFrame:
     """Events of known robots with their fleet: those of the day's type deliver."""
-    known = F.col("ts").isNotNull() & F.col("robot_id").isNotNull()
-    rows, chosen = t.station_event.where(known & F.col("robot_type").isNotNull()), t.day_types
-    if chosen is None:
-        return rows.withColumn("fleet", F.lit("delivery"))
-    if isinstance(chosen, DataFrame):
-        rows = rows.join(chosen.select("op_day", F.col("robot_type").alias("_type")), "op_day", "left")
-    else:
-        rows = rows.withColumn("_type", F.lit(chosen))
-    delivers = F.col("_type").isNull() | (F.col("robot_type") == F.col("_type"))
-    return rows.withColumn("fleet", F.when(delivers, "delivery").otherwise("shuttle")).drop("_type")
+    known = F.col("ts").isNotNull() & F.col("robot_id").isNotNull() & F.col("robot_type").isNotNull()
+    rows = t.events().where(known)
+    if "delivers" not in rows.columns:
+        rows = with_delivers(rows, t.day_types)
+    return rows.withColumn("fleet", F.when(F.col("delivers"), "delivery").otherwise("shuttle")).drop("delivers")
+
+
+def _robot_spans(t: Tables) -> DataFrame:
+    """First and last event of each robot and fleet of a day."""
+    return t.kept(
+        "robot_spans",
+        lambda: _robot_events(t).groupBy(*FLEET, "robot_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")),
+    )
 
 
 def lifecycle_intervals(t: Tables) -> DataFrame:
@@ -118,36 +132,28 @@ def lifecycle_intervals(t: Tables) -> DataFrame:
     rows = t.lifecycle.where(
         (leg > 0) & (leg < S.LEG_UTIL_MAX_S) & F.col("completed_ts").isNotNull()
     ).withColumn("leg_start", minus_seconds(F.col("completed_ts"), leg))
-    delivery = rows.select(
-        "op_day",
-        F.lit("delivery").alias("fleet"),
-        F.col("leg_start").alias("start_ts"),
-        F.col("completed_ts").alias("end_ts"),
-    )
-    if "shuttle_s" not in rows.columns:
-        return delivery
-    shuttle = rows.where(F.col("shuttle_s") > 0).select(
-        "op_day",
-        F.lit("shuttle").alias("fleet"),
-        minus_seconds(F.col("leg_start"), F.col("shuttle_s")).alias("start_ts"),
-        F.col("leg_start").alias("end_ts"),
-    )
-    return delivery.unionByName(shuttle.where(F.col("start_ts") < F.col("end_ts")))
+
+    def interval(fleet: str, start, end):
+        return F.struct(F.lit(fleet).alias("fleet"), start.alias("start_ts"), end.alias("end_ts"))
+
+    both = [interval("delivery", F.col("leg_start"), F.col("completed_ts"))]
+    if "shuttle_s" in rows.columns:
+        begin = minus_seconds(F.col("leg_start"), F.col("shuttle_s"))
+        shuttle = interval("shuttle", begin, F.col("leg_start"))
+        both.append(F.when((F.col("shuttle_s") > 0) & (begin < F.col("leg_start")), shuttle))
+    # One pass over the tasks gives both fleets.
+    return rows.select("op_day", F.inline(F.array_compact(F.array(*both))))
 
 
 def station_intervals(t: Tables) -> DataFrame:
     """Robot dwell at stations; for a fleet without any, each robot's whole span."""
-    return _dwell_or_span(_robot_events(t))
+    return _dwell_or_span(_robot_events(t), _robot_spans(t))
 
 
-def _dwell_or_span(events: DataFrame) -> DataFrame:
+def _dwell_or_span(events: DataFrame, spans: DataFrame) -> DataFrame:
     dwell = dwell_pairs(events, carry=["fleet"]).select(*FLEET, "start_ts", "end_ts")
-    spans = (
-        events.groupBy(*FLEET, "robot_id")
-        .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-        .join(dwell.select(*FLEET).distinct(), FLEET, "left_anti")
-    )
-    return dwell.unionByName(spans.select(*FLEET, "start_ts", "end_ts"))
+    without = spans.join(dwell.select(*FLEET).distinct(), FLEET, "left_anti")
+    return dwell.unionByName(without.select(*FLEET, "start_ts", "end_ts"))
 
 
 def task_intervals(t: Tables) -> DataFrame:
@@ -158,20 +164,30 @@ def task_intervals(t: Tables) -> DataFrame:
     """
     events = _robot_events(t)
     if t.lifecycle is None:
-        return _dwell_or_span(events).withColumn("source", F.lit("station"))
+        return _dwell_or_span(events, _robot_spans(t)).withColumn("source", F.lit("station"))
     tasks = lifecycle_intervals(t)
     covered = tasks.select("op_day").distinct()
     on = ["op_day"]
     if "shuttle_s" not in t.lifecycle.columns:
         on, covered = FLEET, covered.withColumn("fleet", F.lit("delivery"))
-    left = events.join(settle(covered), on, "left_anti")
+    covered = settle(covered)
+    left, spans = events.join(covered, on, "left_anti"), _robot_spans(t).join(covered, on, "left_anti")
     return tasks.withColumn("source", F.lit("lifecycle")).unionByName(
-        _dwell_or_span(left).withColumn("source", F.lit("station"))
+        _dwell_or_span(left, spans).withColumn("source", F.lit("station"))
     )
 
 
 def fleet_sizes(t: Tables) -> DataFrame:
-    return _robot_events(t).groupBy(*FLEET).agg(F.count_distinct("robot_id").alias("fleet_size"))
+    return _robot_spans(t).groupBy(*FLEET).agg(F.count_distinct("robot_id").alias("fleet_size"))
+
+
+def _fleet_days(t: Tables, intervals: DataFrame) -> DataFrame:
+    """Per day and fleet: its size, the bins of the day, and whether the day counts tasks."""
+    robots = _robot_spans(t)
+    ends = robots.select("op_day", F.explode(F.array("start_ts", "end_ts")).alias("ts"))
+    span = bin_span(ends, ["op_day"]).where(F.col("last_bin") > F.col("first_bin"))
+    by_tasks = intervals.where(F.col("source") == "lifecycle").select("op_day", F.lit(True).alias("by_tasks")).distinct()
+    return fleet_sizes(t).join(span, "op_day").join(by_tasks, "op_day", "left")
 
 
 def fleet_timeline(t: Tables) -> DataFrame:
@@ -179,23 +195,16 @@ def fleet_timeline(t: Tables) -> DataFrame:
 
     Lifecycle intervals count tasks, so the number is capped at the fleet size.
     """
-    span = bin_span(_robot_events(t), ["op_day"]).where(F.col("last_bin") > F.col("first_bin"))
-    sizes = fleet_sizes(t)
-    grid = sizes.select(*FLEET).join(span, "op_day")
-    intervals = task_intervals(t)
-    counts = active_at(intervals.drop("source"), FLEET, grid, "start_ts", "end_ts")
-    by_tasks = intervals.where(F.col("source") == "lifecycle").select("op_day").distinct()
-    on_task = F.when(F.col("_tasks"), F.least("active", "fleet_size")).otherwise(F.col("active"))
-    return (
-        counts.join(sizes, FLEET)
-        .join(by_tasks.withColumn("_tasks", F.lit(True)), "op_day", "left")
-        .select(
-            *FLEET,
-            "mid_ts",
-            on_task.alias("on_task"),
-            "fleet_size",
-            (on_task / F.col("fleet_size") * 100).alias("utilisation_pct"),
-        )
+    intervals = t.kept("task_intervals", lambda: task_intervals(t))
+    days = t.kept("fleet_days", lambda: _fleet_days(t, intervals))
+    counts = active_at(intervals.drop("source"), FLEET, days.select(*FLEET, "first_bin", "last_bin"), "start_ts", "end_ts")
+    on_task = F.when(F.col("by_tasks"), F.least("active", "fleet_size")).otherwise(F.col("active"))
+    return counts.join(days, FLEET).select(
+        *FLEET,
+        "mid_ts",
+        on_task.alias("on_task"),
+        "fleet_size",
+        (on_task / F.col("fleet_size") * 100).alias("utilisation_pct"),
     )
 
 

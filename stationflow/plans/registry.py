@@ -86,6 +86,14 @@ RESULTS: dict[str, tuple[tuple[str, ...], Result]] = {
 }
 
 
+_DEPTH = ("queue_depth", "leg_by_depth", "depth_box", "depth_summary")
+# Subresult: the results that read it, and how it is written.
+SHARED: dict[str, tuple[tuple[str, ...], Result]] = {
+    "events": (tuple(n for n, (needs, _) in RESULTS.items() if "station_event" in needs), Tables.share_events),
+    "queue_depth": (_DEPTH, fleet.share_depth),
+}
+
+
 def available(t: Tables) -> list[str]:
     """Results whose tables are there."""
     return [
@@ -96,5 +104,12 @@ def available(t: Tables) -> list[str]:
 
 
 def run(t: Tables, *names: str) -> dict[str, DataFrame]:
-    """The named results, or all available ones, as lazy DataFrames."""
-    return {name: RESULTS[name][1](t) for name in names or available(t)}
+    """The named results, or all available ones, as lazy DataFrames.
+
+    What two or more of them read is written once to the checkpoint folder, before them.
+    """
+    wanted = names or tuple(available(t))
+    for readers, write in SHARED.values():
+        if len(set(readers).intersection(wanted)) > 1:
+            write(t)
+    return {name: RESULTS[name][1](t) for name in wanted}

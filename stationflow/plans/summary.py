@@ -16,6 +16,7 @@ from stationflow.operators.stations import completions, with_station
 from stationflow.plans.cycle import MINUTE_STEP, cycle_rows, labor_completions
 from stationflow.plans.dwell import _first_day, pick_intervals
 from stationflow.plans.throughput import CELL
+from stationflow.session import settle
 from stationflow.tables import Tables
 
 OVERLAY_MAX_S = 1800.0
@@ -47,25 +48,19 @@ def daily_stats(t: Tables) -> DataFrame:
 
     Picks and switches take all robots and unmapped locations too.
     """
+    done = (F.col("event_type") == S.TRIGGER_GO) & F.col("station").isNotNull()
+    tasks = settle(t.located().groupBy("op_day").agg(F.count_if(done).alias("total_tasks")))
     days = reduce(
-        DataFrame.unionByName,
-        [df.select("op_day") for df in (t.station_event, t.lifecycle, t.callback) if df is not None],
+        DataFrame.unionByName, [df.select("op_day") for df in (tasks, t.lifecycle, t.callback) if df is not None]
     ).distinct()
-    done = completions(t.located()).groupBy("op_day").agg(F.count("*").alias("_done"))
-    tasks = (
-        t.station_event.select("op_day")
-        .distinct()
-        .join(done, "op_day", "left")
-        .select("op_day", F.coalesce("_done", F.lit(0)).alias("total_tasks"))
-    )
     cycle = exact_quantiles(
         cycle_rows(t), ["op_day"], "cycle_min",
         {"median_cycle_min": 0.5, "p90_cycle_min": 0.9}, MINUTE_STEP,
     )
-    pick = _picks(t.station_event, []).groupBy("op_day").agg(F.avg("seconds").alias("mean_pick_s"))
+    pick = _picks(t.events(), []).groupBy("op_day").agg(F.avg("seconds").alias("mean_pick_s"))
     gap = F.col("seconds")
     switch = exact_quantiles(
-        switch_pairs(t.station_event, "location_code").where((gap >= 0) & (gap < S.SWITCH_MAX_S)),
+        switch_pairs(t.events(), "location_code").where((gap >= 0) & (gap < S.SWITCH_MAX_S)),
         ["op_day"], "seconds", {"median_switch_s": 0.5},
     )
     return reduce(lambda a, b: a.join(b, "op_day", "left"), [days, tasks, cycle, pick, switch])

@@ -10,7 +10,7 @@ from stationflow.functions.stats import ratio
 from stationflow.functions.times import floor_to
 from stationflow.operators.grid import complete_grid, day_start, ticks
 from stationflow.operators.pairing import pick_pairs, switch_pairs
-from stationflow.operators.slicing import occupied_seconds, slice_hours
+from stationflow.operators.slicing import slice_hours
 from stationflow.operators.stations import design_total
 from stationflow.tables import Tables
 
@@ -67,31 +67,50 @@ def delivery_switches(t: Tables) -> DataFrame:
     return switch_pairs(t.delivery()).where((s >= 0) & (s < S.SWITCH_MAX_S))
 
 
+def _cell_sums(t: Tables) -> DataFrame:
+    """Completions, pick and switch time of every cell that has any, from one grouping."""
+    t.share_events()
+    picks = slice_hours(valid_picks(t)).select(
+        *CELL, F.col("slice_s").alias("pick_s"), "frac", (F.col("frac") * F.col("seconds")).alias("weighted")
+    )
+    switches = slice_hours(delivery_switches(t)).select(*CELL, F.col("slice_s").alias("switch_s"))
+    done = t.completions().select("op_day", "station", floor_to(F.col("ts"), "HOUR").alias("hour"), F.lit(1).alias("done"))
+    rows = done.unionByName(picks, allowMissingColumns=True).unionByName(switches, allowMissingColumns=True)
+    hour = F.lit(S.HOUR_S)
+    return rows.groupBy(*CELL).agg(
+        F.count("done").alias("completions"),
+        F.when(F.count("pick_s") > 0, F.least(F.sum("pick_s"), hour)).alias("pick_occ"),
+        F.sum("frac").alias("tasks"),
+        F.sum("weighted").alias("weighted"),
+        F.when(F.count("switch_s") > 0, F.least(F.sum("switch_s"), hour)).alias("occupied_s"),
+    )
+
+
+def _full_cells(t: Tables) -> DataFrame:
+    """The cell sums over 24 hours of the stations with a completion, with ``has_picks`` per day."""
+    sums = t.kept("cell_sums", lambda: _cell_sums(t))
+    day = Window.partitionBy("op_day")
+    stations = (
+        sums.where("completions > 0").groupBy("op_day", "station").agg(F.min("hour").alias("_first"))
+        .withColumn("day_ts", floor_to(F.min("_first").over(day), "DAY")).drop("_first")
+    )
+    full = complete_grid(ticks(stations, "HOUR", 24, "hour").drop("day_ts"), sums, CELL, {"completions": 0})
+    return full.withColumn("has_picks", F.max(F.col("tasks").isNotNull()).over(day))
+
+
 def station_hour_detail(t: Tables) -> DataFrame:
     """Active time, effective tasks, implied capacity and % of it per cell.
 
     Cells without a completion have no task figures; days without a valid pick
     have none at all.
     """
-    picks = (
-        slice_hours(valid_picks(t))
-        .groupBy(*CELL)
-        .agg(
-            F.least(F.sum("slice_s"), F.lit(S.HOUR_S)).alias("pick_occ"),
-            F.sum("frac").alias("tasks"),
-            F.sum(F.col("frac") * F.col("seconds")).alias("weighted"),
-        )
-    )
-    switches = occupied_seconds(delivery_switches(t), ["op_day", "station"])
-    cells = station_hour(t).join(picks, CELL, "left").join(switches, CELL, "left")
-    has_picks = cells.groupBy("op_day").agg(F.max(F.col("tasks").isNotNull()).alias("has_picks"))
     zero = F.lit(0.0)
     busy = F.coalesce("pick_occ", zero) + F.coalesce("occupied_s", zero)
     active = F.col("completions") > 0
     mean_pick = ratio(F.col("weighted"), F.col("tasks"))
     effective, capacity = F.col("effective_tasks"), F.col("capacity_tph")
     return (
-        cells.join(has_picks, "op_day")
+        _full_cells(t)
         .withColumns(
             {
                 "active_pct": F.when(

@@ -55,16 +55,27 @@ def switch_events(t: Tables) -> DataFrame:
     return switch_intervals(t).withColumn("hour_label", hour_label(F.col("hour")))
 
 
+def _chain_sums(t: Tables) -> DataFrame:
+    """Mean pick, mean switch and completions per station and hour of day, from one grouping."""
+    t.share_events()
+    rows = (
+        pick_events(t).select(*LABELLED, "pick_s")
+        .unionByName(switch_events(t).select(*LABELLED, "switch_s"), allowMissingColumns=True)
+        .unionByName(completion_events(t).select(*LABELLED, F.lit(1).alias("done")), allowMissingColumns=True)
+    )
+    return rows.groupBy(*LABELLED).agg(
+        F.avg("pick_s").alias("avg_pick_s"), F.avg("switch_s").alias("avg_switch_s"), F.count("done").alias("completions")
+    )
+
+
 def utilisation_chain(t: Tables) -> DataFrame:
     """Implied rates and utilisation per station and hour of day.
 
     Completions take the delivery robots only, picks and switches take all.
     Undefined figures are NULL.
     """
-    picks = pick_events(t).groupBy(*LABELLED).agg(F.avg("pick_s").alias("avg_pick_s"))
-    switches = switch_events(t).groupBy(*LABELLED).agg(F.avg("switch_s").alias("avg_switch_s"))
-    done = completion_events(t).groupBy(*LABELLED).agg(F.count("*").alias("completions"))
-    days = picks.select("op_day").distinct()
+    sums = t.kept("chain_sums", lambda: _chain_sums(t))
+    days = sums.where("avg_pick_s IS NOT NULL").select("op_day").distinct()
     label = F.concat(F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":00"))
     grid = (
         t.day_stations()
@@ -74,8 +85,7 @@ def utilisation_chain(t: Tables) -> DataFrame:
     )
     pick, switch, n = F.col("avg_pick_s"), F.col("avg_switch_s"), F.col("completions")
     hour = F.lit(S.HOUR_S)
-    full = grid.join(picks, LABELLED, "left").join(switches, LABELLED, "left")
-    return complete_grid(full, done, LABELLED, {"completions": 0}).withColumns(
+    return complete_grid(grid, sums, LABELLED, {"completions": 0}).withColumns(
         {
             "implied_fixed_tph": ratio(hour, pick + S.FIXED_SWITCH_S),
             "implied_actual_tph": ratio(hour, pick + switch),

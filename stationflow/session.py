@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Compute a subresult once: a Parquet table in the shared checkpoint folder, read from there.
+
+    It cuts the lineage and survives the loss of executors, and its readers prune columns.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/subresult-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Compute a derived lookup table once and broadcast it only if it is small.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -12,9 +13,10 @@ from stationflow.operators.stations import (
     completions,
     detect_robot_type,
     of_type,
+    with_delivers,
     with_station,
 )
-from stationflow.session import settle
+from stationflow.session import settle, written
 
 
 @dataclass(frozen=True)
@@ -22,7 +24,8 @@ class Tables:
     """Canonical DataFrames, the station dimension and the delivery robot type.
 
     The dimension and the robot type are derived from the station events when a
-    result first asks for them, and then kept.
+    result first asks for them, and then kept. So are subresults that several parts of
+    a result, or several results, read: each is written once to the shared folder.
     """
 
     station_event: DataFrame | None = None
@@ -68,12 +71,39 @@ class Tables:
                 return chosen["value"]
         return settle(detect_robot_type(self.station_event, ["op_day"]))
 
+    @cached_property
+    def _subresults(self) -> dict[str, DataFrame]:
+        return {}
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The subresult of this name, built and written when it is first asked for."""
+        if name not in self._subresults:
+            self._subresults[name] = written(build())
+        return self._subresults[name]
+
+    def found(self, name: str) -> DataFrame | None:
+        """The subresult of this name, if it has been written."""
+        return self._subresults.get(name)
+
+    def share_events(self) -> DataFrame:
+        """Located station events with ``delivers``; from now on all results start from them."""
+        rows = with_delivers(self.station_event, self.day_types)
+        return self.kept("events", lambda: with_station(rows, self.stations))
+
+    def events(self) -> DataFrame:
+        """Station events of all robots: the shared ones if they are there."""
+        return self._subresults.get("events", self.station_event)
+
     def located(self) -> DataFrame:
         """Station events of all robots, with ``station``."""
-        return with_station(self.station_event, self.stations)
+        shared = self._subresults.get("events")
+        return with_station(self.station_event, self.stations) if shared is None else shared.drop("delivers")
 
     def delivery(self) -> DataFrame:
         """Station events of the delivery robots, with ``station``."""
+        shared = self._subresults.get("events")
+        if shared is not None:
+            return shared.where("delivers").drop("delivers")
         return with_station(of_type(self.station_event, self.day_types), self.stations)
 
     def completions(self) -> DataFrame:
@@ -81,6 +111,9 @@ class Tables:
 
     def day_stations(self) -> DataFrame:
         """``op_day, station``: the stations with any event that day."""
+        shared = self._subresults.get("events")
+        if shared is not None:
+            return shared.where("station IS NOT NULL").select("op_day", "station").distinct()
         seen = self.station_event.select("op_day", "location_code").distinct()
         return with_station(seen, self.stations, "inner").select("op_day", "station").distinct()
 

@@ -135,7 +135,11 @@ def test_a_busy_robot_is_spread(spark, make_events):
     """A third of all rows belong to one robot; no task gets much more than its share of them."""
     rows = [(f"{k // 3600:02d}:{k // 60 % 60:02d}:{k % 60:02d}", "arrived" if k // 12 % 2 == 0 else "triggerGo", 1, "busy" if k % 3 == 0 else f"r{k}") for k in range(0, 80_000, 4)]
     dealt = pick_pairs(make_events(rows)).where("robot_id = 'busy'").groupBy(F.spark_partition_id().alias("p")).count()
-    counts = [r["count"] for r in dealt.collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = [r["count"] for r in dealt.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(counts) > 1 and max(counts) < 0.6 * sum(counts)
 
 
