@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationflow.llm.common import cut
-from stationflow.session import BROADCAST_ROWS
+from stationflow.session import BROADCAST_ROWS, settle
 
 WINDOW = 10
 # A-Z are word characters before lower-casing. Fixed values.
@@ -111,7 +111,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "t
         .groupBy("digest", "item").agg(F.lit(1).alias("one"))
         .groupBy("digest").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    per_text = covered.join(named, "digest").withColumnRenamed("digest", "d")
+    # Broadcast up to a checked size, else an exchange of its own, whose skew can be split.
+    per_text = settle(covered.join(named, "digest").withColumnRenamed("digest", "d"))
     read = docs.select("doc_id", F.regexp_count(_whole(text), F.lit(WORD)).cast("long").alias("n_words"), _digest(text).alias("digest"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return read.join(per_text, F.col("digest") == F.col("d"), "left").select(
