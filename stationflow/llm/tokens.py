@@ -13,8 +13,8 @@ import tiktoken
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
-# Words held per Python worker, some 200 bytes each.
-MOST_KEPT = 1_500_000
+# Words held per Python worker, some 200 bytes each: 80 MB.
+MOST_KEPT = 400_000
 TOGETHER = 256
 # White space other than single spaces and line feeds inside the text.
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|^[ \n]|[ \n]\Z")
