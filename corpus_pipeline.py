@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from stationflow.llm import mixing, packing, pii, prefix_join, quality_ledger
 from stationflow.llm.common import shared_folder, table
+from stationflow.session import settle
 
+# Ids that are broadcast as a set, 16 bytes each; more are joined by shuffle.
+MOST_IDS = 2_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 # Several stages train or pack by rules that SQL does not express.
@@ -27,9 +30,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
     found = prefix_join.linked_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id", "text"])
-    return once.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = settle(found.where("component_id <> doc_id").select("doc_id").distinct(), MOST_IDS)
+    # Texts stay where they are, but for those of ids that stand more than once.
+    ids = docs.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    repeated = settle(ids, MOST_IDS)
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    once = docs.join(repeated, same, "left_anti")
+    more = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
