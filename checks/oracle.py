@@ -410,6 +410,23 @@ SQL: dict[str, tuple[str, str]] = {
                                  ('purchase', 'release')) x(src, e) ON event_type = x.src
            WHERE k % 11 <> 0""",
     ),
+    "s4_undated_pairs": (
+        "op_day robot_id start_ts end_ts seconds:d location_code",
+        """SELECT (SELECT min(op_day) FROM ev) AS op_day, robot AS robot_id, p_ts AS start_ts, ts AS end_ts,
+                  date_diff('microsecond', p_ts, ts) / 1e6 AS seconds, p_point AS location_code
+           FROM (SELECT *, lag(ts) OVER w AS p_ts, lag(event_type) OVER w AS p_type, lag(point) OVER w AS p_point
+                 FROM log WHERE k % 11 <> 0 AND event_type IN ('click', 'purchase')
+                 WINDOW w AS (PARTITION BY robot ORDER BY ts, event_id))
+           WHERE event_type = 'purchase' AND p_type = 'click'""",
+    ),
+    "s4_incremental_ingest": (
+        "ts event_type location_code robot_id robot_type",
+        """SELECT DISTINCT ts, x.e AS event_type, point AS location_code, robot AS robot_id,
+                  'K50' AS robot_type
+           FROM log JOIN (VALUES ('click', 'arrived'), ('purchase', 'triggerGo'),
+                                 ('purchase', 'release')) x(src, e) ON event_type = x.src
+           WHERE k % 11 <> 0""",
+    ),
     "s7_lifecycle_fold": (
         "op_day task_code task_group container_id robot_id source_loc dest_loc created_ts assigned_ts"
         " loaded_ts unloaded_ts completed_ts assign_s:d total_s:d leg_s:d",
@@ -489,6 +506,25 @@ SQL: dict[str, tuple[str, str]] = {
            FROM (VALUES ('warning', 'unknown_keys', 'colour'), ('error', 'string', 'amr_type'),
                         ('error', 'numeric_rate', 'LABOR-1')) x(a, b, c)""",
     ),
+    "v6_load_issues": (
+        'severity "table" "check" detail',
+        """SELECT 'warning' AS severity, x.a AS "table", 'expected_column' AS "check", x.c AS detail
+           FROM (VALUES ('callback', '机器人编号'), ('callback', '容器编号'), ('station', '机器人编号'),
+                        ('lifecycle', '任务全程耗时(秒)'), ('lifecycle', '目标位置'),
+                        ('lifecycle', '起始位置'), ('lifecycle', '容器编号')) x(a, c)
+           UNION ALL SELECT 'error', 'lifecycle', 'duration_column', '耗时'
+           UNION ALL
+           SELECT 'warning', 'lifecycle', 'few_rows', CAST(count(*) AS VARCHAR)
+           FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 5
+           UNION ALL
+           SELECT 'warning', 'station', 'bad_timestamps',
+                  CAST(CAST(round_even((1 - avg(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)) * 100, 0)
+                       AS BIGINT) AS VARCHAR)
+           FROM events
+           UNION ALL
+           SELECT DISTINCT 'warning', 'callback', 'duplicate_day', CAST(op_day AS VARCHAR)
+           FROM ev WHERE user_id % 2 = 1 AND day(op_day) > 20""",
+    ),
     "v6_duplicate_days": (
         'severity "table" "check" detail',
         """SELECT 'warning' AS severity, 'callback' AS "table", 'duplicate_day' AS "check",

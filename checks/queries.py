@@ -78,6 +78,42 @@ def _read_log(spark: SparkSession, sf: str, multiline: bool) -> DataFrame:
     return _entry_rows(eventlog.read_event_log(spark, path, multiline)).drop("label")
 
 
+def _undated_pairs(ev: DataFrame) -> DataFrame:
+    """All events in one undated file: one load, whose pairs run over midnight."""
+    lines = A.log_lines(ev).withColumn("file_name", F.lit("flow.log"))
+    return pick_pairs(eventlog.build_station_event(eventlog.load_days(eventlog.parse_entries(lines))))
+
+
+def _ingested(spark: SparkSession, sf: str) -> DataFrame:
+    """Log files of the first days are ingested, then all files, then nothing new.
+
+    The files have no date in their names, so a day is that of its file's first entry.
+    """
+    files, folder = _scratch(spark), _scratch(spark)
+    lines = A.log_lines(A.events(spark, sf)).withColumn("day", F.regexp_extract("file_name", eventlog.FILE_DATE, 1))
+    one_a_day = lines.repartition("day").sortWithinPartitions("day", "line").select("value", "day")
+    early = F.col("day") < lines.agg(F.date_format(F.date_add(F.min(F.to_date("day")), 3), "yyyy-MM-dd")).scalar()
+    for part in (early, ~early):
+        one_a_day.where(part).write.mode("append").partitionBy("day").text(files)
+        eventlog.ingest_new(spark, files, folder, multiline=False)
+    return eventlog.ingest_new(spark, files, folder, multiline=False).station_event.drop("op_day", "row_id", "load")
+
+
+def _load_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """A load with bad times, few tasks without durations, and days in two callback tables."""
+    ev, folder = A.events(spark, sf), _scratch(spark)
+    top = ev.agg(F.max("event_id").alias("m")).scalar()
+    raw = {
+        "first": A.source_callback(ev), "second": A.source_callback(ev.where("user_id % 2 = 1 AND day(op_day) > 20")),
+        "station": A.source_station(ev),
+        "任务生命周期": A.source_lifecycle(ev.where(F.col("event_id") > top - 5)).select("任务编号", "complete(任务完成时间)"),
+    }
+    names = {name: f"{folder}/{i}" for i, name in enumerate(raw)}
+    for name, df in raw.items():
+        df.write.parquet(names[name])
+    return source_tables.load_tables(spark, names, f"{folder}/canonical", strict=False)[1]
+
+
 def _on_read_back(fn: Callable[[Tables], DataFrame]) -> Query:
     """On the canonical tables, written and read again."""
 
@@ -198,6 +234,8 @@ def queries() -> dict[str, Query]:
         "s1_read_log_multiline": lambda spark, sf: _read_log(spark, sf, True),
         "s2_log_entries": _on_log(_entry_rows),
         "s4_log_days": _on_log(eventlog.log_days),
+        "s4_undated_pairs": _on_events(_undated_pairs),
+        "s4_incremental_ingest": _ingested,
         "s5_callback": _on_log(lambda e: eventlog.build_callback(e).drop("row_id")),
         "s6_station_event": _on_log(lambda e: eventlog.build_station_event(e).drop("row_id")),
         "s7_lifecycle_fold": _on_log(lambda e: eventlog.build_lifecycle(e).drop("row_id")),
@@ -215,6 +253,7 @@ def queries() -> dict[str, Query]:
         # Quality
         "v3_quality_report": _quality,
         "v2_few_rows": _few_rows,
+        "v6_load_issues": _load_issues,
         "v5_settings": _on_events(
             lambda ev: settings.check_settings(A.settings(ev).unionByName(
                 ev.groupBy().agg(F.concat(

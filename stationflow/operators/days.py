@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from stationflow.tables import Tables
 
+TASK_TIMES = ["created_ts", "assigned_ts", "loaded_ts", "unloaded_ts", "completed_ts"]
+
 
 def peak_day(callback: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Date with most callback rows, per load if ``by`` names it; ties go to the first."""
@@ -23,8 +25,12 @@ def keep_peak_day(t: Tables, by: Sequence[str] = ()) -> Tables:
     """Only the rows of the peak day, in every table.
 
     With ``by`` (columns that name the load, such as ``source``) each load keeps its own
-    peak day. A load whose callbacks know one date or none stays as it is.
+    peak day. A load whose callbacks know one date or none stays as it is, and so does
+    everything without callbacks. A row is dated by its own first time: a task by its
+    creation where that is known to the table.
     """
+    if t.callback is None:
+        return t
     dated = t.callback.withColumn("date", F.to_date("ts")).where(F.col("date").isNotNull())
     sizes = dated.groupBy(*by, "date").agg(F.count("*").alias("n"))
     peaks = (
@@ -33,26 +39,28 @@ def keep_peak_day(t: Tables, by: Sequence[str] = ()) -> Tables:
         .where("dates > 1")
         .drop("dates")
     )
+    peak = None if by else peaks.scalar()
 
-    def keep(df: DataFrame | None) -> DataFrame | None:
+    def keep(df: DataFrame | None, times: Sequence[str]) -> DataFrame | None:
         if df is None:
             return None
-        if not by:
-            peak = peaks.scalar()
-            return df.where(F.when(peak.isNull(), F.lit(True)).otherwise(F.col("op_day") == peak))
+        date = F.to_date(next(c for c in times if c in df.columns))
+        if peak is not None:
+            return df.where(F.when(peak.isNull(), F.lit(True)).otherwise(date == peak))
         other = peaks.select(*[F.col(c).alias(f"_{c}") for c in by], "_peak")
         same_load = [df[c].eqNullSafe(other[f"_{c}"]) for c in by]
         marked = df.join(other, same_load, "left")
-        return marked.where(F.col("_peak").isNull() | (F.col("op_day") == F.col("_peak"))).select(
+        return marked.where(F.col("_peak").isNull() | (date == F.col("_peak"))).select(
             *[df[c] for c in df.columns]
         )
 
+    lifecycle = keep(t.lifecycle, TASK_TIMES)
+    stage = t.stage
+    if stage is not None and lifecycle is not None:
+        # The stages of a task go with it.
+        stage = stage.join(lifecycle.select("op_day", "row_id"), ["op_day", "row_id"], "left_semi")
     return replace(
-        t,
-        station_event=keep(t.station_event),
-        callback=keep(t.callback),
-        lifecycle=keep(t.lifecycle),
-        stage=keep(t.stage),
+        t, station_event=keep(t.station_event, ["ts"]), callback=keep(t.callback, ["ts"]), lifecycle=lifecycle, stage=stage
     )
 
 
@@ -62,7 +70,7 @@ def data_date(spark: SparkSession, t: Tables) -> DataFrame:
     for df, times in (
         (t.callback, ["ts"]),
         (t.station_event, ["ts"]),
-        (t.lifecycle, ["created_ts", "assigned_ts", "loaded_ts", "unloaded_ts", "completed_ts"]),
+        (t.lifecycle, TASK_TIMES),
     ):
         if df is not None:
             known = [F.min(c) for c in times if c in df.columns]

@@ -17,7 +17,8 @@ from stationflow.functions.text import is_labor, robot_type_of
 from stationflow.functions.times import parse_epoch_ms, parse_iso, seconds_between, zone_offset
 from stationflow.operators.ordered import running_totals
 from stationflow.sources.sinks import write_raw
-from stationflow.sources.tables import read_canonical
+from stationflow.session import settle, written
+from stationflow.sources.tables import read_canonical, read_stored
 from stationflow.tables import Tables
 
 # ---------------------------------------------------------------------------
@@ -32,6 +33,7 @@ TOTE_UNLOADED = "CALLBACK_OF_TOTE_UNLOADED_BY_ROBOT"
 TASK_FINISHED = "CALLBACK_OF_TASK_FINISHED"
 STATION_REACHED = "CALLBACK_OF_ROBOT_REACH_STATION"
 UNNAMED_ACTION = "robot"
+MANIFEST = "manifest"
 ASSIGN_COLUMN = "分配耗时(秒)"
 PAYLOAD = "taskCode STRING, containerCode STRING, taskGroupCode STRING, fromLocationCode STRING, data STRING"
 DATA = """
@@ -347,10 +349,22 @@ def log_stages(lifecycle: DataFrame) -> DataFrame:
     )
 
 
+def load_days(entries: DataFrame) -> DataFrame:
+    """Give an undated load one ``op_day``: the date of its first entry.
+
+    Its pairs and tasks then run over midnight as they do in a dated file.
+    """
+    undated = F.col("label").try_cast("date").isNull()
+    first = settle(entries.where(undated).groupBy("label").agg(F.min("op_day").alias("_day")))
+    whole = entries.join(first, "label", "left").withColumn("op_day", F.coalesce("_day", "op_day"))
+    return whole.select(*entries.columns)
+
+
 def log_tables(
     entries: DataFrame, overrides: DataFrame | None = None, zone: str | None = None
 ) -> Tables:
     """All canonical tables of a log. Store them first if many results are wanted."""
+    entries = load_days(entries)
     lifecycle = build_lifecycle(entries, zone)
     return Tables(
         build_station_event(entries), build_callback(entries), lifecycle, log_stages(lifecycle),
@@ -374,6 +388,59 @@ def ingest_log(
     return read_canonical(spark, folder, overrides)
 
 
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``path, length, modified, load`` of log files: their listing, not their text."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return spark.read.format("binaryFile").load(paths).select(
+        "path", "length", F.col("modificationTime").alias("modified"), _load_of(name).alias("load")
+    )
+
+
+def _load_of(file_name: Column) -> Column:
+    return F.coalesce(file_date(file_name).cast("string"), file_name)
+
+
+def ingest_new(
+    spark: SparkSession, paths: str | Sequence[str], folder: str, overrides: DataFrame | None = None,
+    zone: str | None = None, multiline: bool = True,
+) -> Tables:
+    """Add to ``folder`` what the log files hold that is not in it yet.
+
+    A manifest names the files (path, length, time) of every load: a day of dated files, or
+    an undated file. Loads with a new or changed file are parsed anew, with all their
+    files, and replace their own part of each table; other loads are not read. The
+    manifest is written last, so an ingest that broke off is repeated. Files that went
+    away change nothing, and a table that a changed load no longer fills keeps its old rows.
+    """
+    files = list_files(spark, paths)
+    fresh = files
+    known = read_stored(spark, f"{folder}/{MANIFEST}")
+    if known is not None:
+        fresh = files.join(known.select("path", "length", "modified"), ["path", "length", "modified"], "left_anti")
+    todo = cut_files(files.join(fresh.select("load").distinct(), "load", "left_semi"))
+    wanted = [row["path"] for row in todo.select("path").toLocalIterator()]
+    if wanted:
+        # The entries are parsed once and read by all builders.
+        entries = require_entries(written(read_event_log(spark, wanted, multiline)))
+        t = log_tables(entries, zone=zone)
+        for name, out in S.RAW_NAMES.items():
+            _replace_loads(getattr(t, name).withColumn("load", _load_of(F.col("row_id.file"))), f"{folder}/{out}")
+        _replace_loads(todo, f"{folder}/{MANIFEST}")
+    return read_canonical(spark, folder, overrides)
+
+
+def cut_files(files: DataFrame) -> DataFrame:
+    """The chosen files as listed now, though more may arrive meanwhile."""
+    return written(files.select("path", "length", "modified", "load"))
+
+
+def _replace_loads(df: DataFrame, path: str) -> None:
+    """Write a table with a folder per load; only the loads it holds are replaced."""
+    df.hint("rebalance", "load").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "load"
+    ).parquet(path)
+
+
 def log_days(entries: DataFrame) -> DataFrame:
     """Files that make up each day: ``label, files``."""
     return entries.groupBy("label").agg(F.count_distinct("row_id.file").alias("files"))

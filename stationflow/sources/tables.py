@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stationflow import schemas as S
+from stationflow.operators import quality
+from stationflow.sources import sinks
 from stationflow.tables import Tables
 
 
@@ -197,12 +201,9 @@ def lifecycle_stages(
     )
 
 
-def read_tables(
-    spark: SparkSession, paths: Mapping[str, str], overrides: DataFrame | None = None,
-    robot_type: str | None = None,
+def _typed(
+    kinds: Mapping[str, DataFrame], overrides: DataFrame | None, robot_type: str | None
 ) -> Tables:
-    """Read named tables, tell which is which and make them canonical."""
-    kinds = identify({name: read_table(spark, path) for name, path in paths.items()})
     events = canonical_station(kinds["station"])
     # The delivery leg of a table is that of its main type; events go by the type of their day.
     main_type = Tables(events, overrides=overrides, given_type=robot_type).robot_type
@@ -218,6 +219,47 @@ def read_tables(
     )
 
 
+def read_tables(
+    spark: SparkSession, paths: Mapping[str, str], overrides: DataFrame | None = None,
+    robot_type: str | None = None,
+) -> Tables:
+    """Read named tables, tell which is which and make them canonical. Nothing is checked."""
+    return _typed(identify({name: read_table(spark, path) for name, path in paths.items()}), overrides, robot_type)
+
+
+def load_tables(
+    spark: SparkSession, paths: Mapping[str, str], folder: str, overrides: DataFrame | None = None,
+    robot_type: str | None = None, strict: bool = True,
+) -> tuple[Tables, DataFrame]:
+    """Read named tables, write them canonical to ``folder``, and check them in that same pass.
+
+    Gives the stored tables and the issues found (``severity, table, check, detail``). With
+    ``strict`` an error raises ``quality.BadData``; the tables written stay, for a look at them.
+    """
+    kinds = identify({name: read_table(spark, path) for name, path in paths.items()})
+    lacking = [c for kind, df in kinds.items() for c in S.REQUIRED_COLUMNS.get(kind, ()) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"required columns are missing: {', '.join(lacking)}")
+    watch = quality.Watch()
+    t = _typed({kind: watch.table(kind, df) for kind, df in kinds.items()}, overrides, robot_type)
+    t = replace(t, callback=watch.days(t.callback))
+    sinks.write_raw(t, folder, by_day=False)
+    issues = watch.issues(spark)
+    if strict:
+        quality.require_sound(issues)
+    return read_canonical(spark, folder, overrides, robot_type=robot_type), issues
+
+
+def read_stored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """A table by its folder, or None where none was written."""
+    try:
+        return spark.read.option("header", True).format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def read_canonical(
     spark: SparkSession, folder: str, overrides: DataFrame | None = None, fmt: str = "parquet",
     robot_type: str | None = None,
@@ -229,10 +271,9 @@ def read_canonical(
     kinds = {"station_event": S.STATION_EVENT, "callback": S.CALLBACK, "lifecycle": S.LIFECYCLE, "stage": S.LIFECYCLE_STAGE}
     found: dict[str, DataFrame] = {}
     for name, out in S.RAW_NAMES.items():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{out}")
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        df = read_stored(spark, f"{folder}/{out}", fmt)
+        if df is None:
             continue
-        df = spark.read.option("header", True).format(fmt).load(f"{folder}/{out}")
         types = {f.name: f.dataType for f in kinds[name].fields if f.name != "row_id"}
         found[name] = df.select(
             *[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]

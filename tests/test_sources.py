@@ -5,7 +5,8 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from stationflow import schemas as S
-from stationflow.operators import quality
+from stationflow.operators import days, quality
+from stationflow.operators.pairing import pick_pairs
 from stationflow.plans import fleet, registry, throughput
 from stationflow.sources import eventlog, sinks, tables
 from stationflow.tables import Tables
@@ -274,3 +275,69 @@ def test_tables_object_is_lazy(spark, make_events):
     events = make_events([("08:00:00", "triggerGo", 1, "r")])
     t = Tables(events, given_type="K50")
     assert t.robot_type == "K50" and "stations" not in t.__dict__
+
+
+def _touch(path, lines):
+    path.write_text("\n".join(lines))
+
+
+def test_incremental_ingest(spark, tmp_path, monkeypatch):
+    """A second ingest parses nothing; a new file rewrites its own load only."""
+    logs, folder = tmp_path / "logs", str(tmp_path / "canonical")
+    logs.mkdir()
+    _touch(logs / "a-2026-06-25.log", [sent("2026-06-25T08:00:00", REACH, AT_1, taskCode=["ND1"])])
+    _touch(logs / "a-2026-06-26.log", [sent("2026-06-26T08:00:00", REACH, AT_1, taskCode=["ND1"])])
+    # An undated file over midnight.
+    _touch(logs / "night.log", [sent("2026-06-27T23:59:00", REACH, AT_1, taskCode=["ND1"]), sent("2026-06-28T00:01:00", FINISHED, AT_1, taskCode=["ND1"])])
+    parsed = []
+    read = eventlog.read_event_log
+    monkeypatch.setattr(eventlog, "read_event_log", lambda s, paths, multiline=True: parsed.append(sorted(p.rsplit("/", 1)[1] for p in paths)) or read(s, paths, multiline))
+
+    def stored_days():
+        t = eventlog.ingest_new(spark, str(logs), folder)
+        return {(str(r["op_day"]), r["ts"].hour, r["event_type"]) for r in t.station_event.collect()}, t
+
+    first, t = stored_days()
+    assert first == {("2026-06-25", 8, "arrived"), ("2026-06-26", 8, "arrived"), ("2026-06-27", 23, "arrived"),
+                     ("2026-06-27", 0, "triggerGo"), ("2026-06-27", 0, "release")}
+    assert [r["seconds"] for r in pick_pairs(t.station_event).collect()] == [120.0]
+    assert stored_days()[0] == first and len(parsed) == 1
+    _touch(logs / "b-2026-06-26.log", [sent("2026-06-26T09:00:00", REACH, AT_1, taskCode=["ND1"])])
+    stored = {p: p.stat().st_mtime_ns for p in (tmp_path / "canonical").rglob("load=2026-06-25/*.parquet")}
+    assert stored_days()[0] == first | {("2026-06-26", 9, "arrived")}
+    assert parsed[1:] == [["a-2026-06-26.log", "b-2026-06-26.log"]]
+    assert stored and all(p.stat().st_mtime_ns == when for p, when in stored.items())
+
+
+def test_checks_while_loading(spark, tmp_path):
+    def stored(name, rows, columns):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}")
+        return f"{tmp_path}/{name}"
+
+    calls = [("2026-06-25 08:00:00", "load", "LABOR-1")] * 12
+    callback = stored("cb", calls, ["时间戳", "动作类型", "位置类型"])
+    station = stored("st", [("n/a", "arrived", "K50")] * 12, ["时间戳", "事件类型", "机器人类型"])
+    paths = {"a": callback, "b": station}
+    with pytest.raises(quality.BadData, match="no_timestamps") as raised:
+        tables.load_tables(spark, paths, f"{tmp_path}/out")
+    assert "error" in {r["severity"] for r in raised.value.issues.collect()}
+    t, issues = tables.load_tables(spark, paths, f"{tmp_path}/out2", strict=False)
+    assert t.callback.count() == 12 and t.lifecycle is None
+    assert {r["check"] for r in issues.where("severity = 'error'").collect()} == {"no_timestamps"}
+    with pytest.raises(ValueError, match="required"):
+        lacking = stored("cb2", calls, ["时间戳", "动作", "位置类型"])
+        tables.load_tables(spark, {"回调明细": lacking, "b": station}, f"{tmp_path}/out3")
+
+
+def test_peak_day_dates_tasks_by_creation(spark, make_tables, make_callback, make_lifecycle):
+    rows = [("2026-06-25T08:00:00", "arrived", 1, "r"), ("2026-06-26T08:00:00", "arrived", 1, "r")]
+    calls = make_callback([{"ts": at("2026-06-25T08:00:00")}, {"ts": at("2026-06-25T09:00:00")}, {"ts": at("2026-06-26T09:00:00")}])
+    tasks = make_lifecycle([
+        {"task_code": "over", "created_ts": at("2026-06-25T23:59:00"), "completed_ts": at("2026-06-26T00:10:00")},
+        {"task_code": "next", "created_ts": at("2026-06-26T01:00:00"), "completed_ts": at("2026-06-26T01:10:00")},
+    ])
+    kept = days.keep_peak_day(make_tables(rows, callback=calls, lifecycle=tasks))
+    assert [r["task_code"] for r in kept.lifecycle.collect()] == ["over"]
+    assert kept.station_event.count() == 1 and kept.callback.count() == 2
+    alone = make_tables(rows)
+    assert days.keep_peak_day(alone) is alone
