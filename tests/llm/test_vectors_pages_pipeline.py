@@ -85,9 +85,28 @@ def test_forest_finds_the_nearest(spark):
     assert prefix_forest.nearest(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("deviation", [0.01, 0.00001])
+def test_forest_inside_a_dense_cluster(spark, deviation):
+    """A third of all vectors in one tight cluster, all different."""
+    random_, n = np.random.default_rng(4), 9000
+    x = random_.standard_normal((n, 64))
+    inside = np.arange(n) % 3 == 0
+    x[inside] = random_.standard_normal(64) + deviation * random_.standard_normal((inside.sum(), 64))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in prefix_forest.nearest(table, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = {True: [], False: []}
+    for q in range(0, n, 100):
+        distance = ((x - x[q]) ** 2).sum(axis=1)
+        distance[q] = np.inf
+        recall[bool(inside[q])].append(len(set(np.argsort(distance)[:10].tolist()) & found[q]) / 10)
+    assert np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9
+
+
 def test_search_array_prefers_long_prefixes():
     keys = np.sort(np.array([0b0000100001, 0b0000100010, 0b0001000001, 0b1111100000], np.int64))
-    q, place = prefix_forest.search_array(keys, np.array([0b0000100011], np.int64), 2, 2)
+    q, place = prefix_forest.search_array(keys, np.array([0b0000100011], np.int64), 2)
     assert sorted(place.tolist()) == [0, 1] and set(q.tolist()) == {0}
 
 
