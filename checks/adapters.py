@@ -230,6 +230,11 @@ def log_lines(ev: DataFrame) -> DataFrame:
                 F.when(kind == "view", (ms - 1500).cast("string")).otherwise("0").alias("assignedTime"),
                 F.when(kind == "purchase", ms).otherwise(F.lit(0)).alias("completedTime"),
             ).alias("data"),
+            # Read by no table: a list of objects, and a field of two types.
+            F.array(
+                F.struct((F.col("k") % 7).alias("hop")), F.struct((F.col("k") % 5).alias("hop"))
+            ).alias("route"),
+            F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).otherwise("low").alias("battery"),
         )
     )
     stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00"))

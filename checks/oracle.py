@@ -388,6 +388,15 @@ SQL: dict[str, tuple[str, str]] = {
            SELECT op_day, CAST(op_day AS VARCHAR), ts, 'BUSINESS_TASK_DATA_CHANGE', NULL
            FROM ev WHERE event_type IN ('purchase', 'view')""",
     ),
+    "s2_payload_fields": (
+        "op_day ts event second_hop:i battery:i no_number:i robot",
+        """SELECT op_day, ts, 'TASK_EXECUTION_CALLBACK_SENT' AS event, NULL AS second_hop, NULL AS battery,
+                  NULL AS no_number, robot
+           FROM (SELECT *, 'robot-' || (user_id % 4) AS robot FROM ev)
+           UNION ALL
+           SELECT op_day, ts, 'BUSINESS_TASK_DATA_CHANGE', k % 5, CASE WHEN k % 2 = 0 THEN k END, NULL, NULL
+           FROM ev WHERE event_type IN ('purchase', 'view')""",
+    ),
     "s4_log_days": (
         "label files:i",
         "SELECT DISTINCT CAST(op_day AS VARCHAR) AS label, 1 AS files FROM ev",
@@ -571,6 +580,11 @@ SQL: dict[str, tuple[str, str]] = {
            GROUP BY ALL""",
     ),
     "q01_throughput_station_hour": (f"{CELL} completions:i", "SELECT * FROM station_hour"),
+    "r1_results_in_sql": (
+        f"{CELL} completions:i mean_s:d",
+        """SELECT h.*, mean_s FROM station_hour h LEFT JOIN pick_cells USING (op_day, station, hour)
+           WHERE op_day = (SELECT min(op_day) FROM ev)""",
+    ),
     "q02_total_hour": (
         "op_day hour completions:i is_peak peak:i avg_nonzero:d design_total:i",
         """SELECT *, row_number() OVER (PARTITION BY op_day ORDER BY completions DESC, hour) = 1

@@ -13,8 +13,8 @@ from stationflow.operators.pairing import dwell_pairs, pick_pairs, switch_pairs
 from stationflow.operators.overlap import overlap_count
 from stationflow.operators.slicing import occupied_seconds
 from stationflow.operators.stations import design_total, detect_robot_type
-from stationflow.plans import cycle, dwell, fleet, retrieval, summary, switch, throughput, workbook
-from stationflow.session import ensure_checkpoint_dir
+from stationflow.plans import cycle, dwell, fleet, registry, retrieval, summary, switch, throughput, workbook
+from stationflow.session import ensure_checkpoint_dir, written
 from stationflow.sources import eventlog, sinks
 from stationflow.sources import overrides as settings
 from stationflow.sources import tables as source_tables
@@ -78,6 +78,33 @@ def _read_log(spark: SparkSession, sf: str, multiline: bool) -> DataFrame:
     return _entry_rows(eventlog.read_event_log(spark, path, multiline)).drop("label")
 
 
+def _payload_fields(ev: DataFrame) -> DataFrame:
+    """Fields that no table is built from, by path, after the entries were stored as Parquet."""
+    kept = written(eventlog.parse_entries(A.log_lines(ev), whole=True))
+    return kept.select(
+        "op_day", "ts", "event",
+        eventlog.payload_field("$.route[1].hop", "bigint").alias("second_hop"),
+        eventlog.payload_field("$.battery", "int").alias("battery"),
+        eventlog.payload_field("$.route", "bigint").alias("no_number"),
+        eventlog.message_field("$.robotCode").alias("robot"),
+    )
+
+
+def _sql_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Two results joined in SQL, for a day given as a parameter."""
+    t = A.tables(spark, sf)
+    day = t.station_event.agg(F.min("op_day")).first()[0]
+    registry.create_views(t, "throughput_station_hour", "pick_station_hour", prefix="day_")
+    return tidy(
+        spark.sql(
+            """SELECT op_day, station, hour, completions, mean_s
+               FROM day_throughput_station_hour LEFT JOIN day_pick_station_hour USING (op_day, station, hour)
+               WHERE op_day = :day""",
+            args={"day": day},
+        )
+    )
+
+
 def _undated_pairs(ev: DataFrame) -> DataFrame:
     """All events in one undated file: one load, whose pairs run over midnight."""
     lines = A.log_lines(ev).withColumn("file_name", F.lit("flow.log"))
@@ -233,6 +260,7 @@ def queries() -> dict[str, Query]:
         "s1_read_log": lambda spark, sf: _read_log(spark, sf, False),
         "s1_read_log_multiline": lambda spark, sf: _read_log(spark, sf, True),
         "s2_log_entries": _on_log(_entry_rows),
+        "s2_payload_fields": _on_events(_payload_fields),
         "s4_log_days": _on_log(eventlog.log_days),
         "s4_undated_pairs": _on_events(_undated_pairs),
         "s4_incremental_ingest": _ingested,
@@ -364,6 +392,7 @@ def queries() -> dict[str, Query]:
         "q51_cycle_percentiles": _on_tables(summary.cycle_percentiles),
         "q52_pick_fit_by_day": _on_tables(summary.pick_fit_by_day),
         # Workbook tables
+        "r1_results_in_sql": _sql_day,
         "q53_throughput_matrix": _on_tables(workbook.throughput_matrix),
         "q54_completion_events": _on_tables(workbook.completion_events),
         "q55_pick_events": _on_tables(workbook.pick_events),

@@ -113,3 +113,17 @@ def run(t: Tables, *names: str) -> dict[str, DataFrame]:
         if len(set(readers).intersection(wanted)) > 1:
             write(t)
     return {name: RESULTS[name][1](t) for name in wanted}
+
+
+def create_views(t: Tables, *names: str, prefix: str = "") -> list[str]:
+    """Temporary views over the named results, or all available ones, for ``spark.sql``.
+
+    A view is as lazy as its result: a query over it prunes columns and pushes its filters
+    on ``op_day`` and other keys down. Days and other values are parameters of the query
+    (``spark.sql(text, args=...)``). Returns the names of the views; views of these names
+    are replaced.
+    """
+    found = {prefix + name: df for name, df in run(t, *names).items()}
+    for name, df in found.items():
+        df.createOrReplaceTempView(name)
+    return list(found)

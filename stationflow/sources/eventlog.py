@@ -57,12 +57,13 @@ def file_date(name: Column) -> Column:
 
 
 def read_event_log(
-    spark: SparkSession, paths: str | Sequence[str], multiline: bool = True
+    spark: SparkSession, paths: str | Sequence[str], multiline: bool = True, whole: bool = False
 ) -> DataFrame:
     """Parsed entries of one or many log files, in file-name order.
 
     An entry reaches up to the next one, so a payload may span lines, and stray text after
     an entry makes it unreadable. Without ``multiline`` an entry ends with its line.
+    With ``whole`` a column ``body`` keeps the payload with all its fields (``payload_field``).
     """
     lines = spark.read.text(paths).select(
         "value",
@@ -70,7 +71,7 @@ def read_event_log(
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return _parse_chunks(_glued(_chunks(lines)) if multiline else _chunks(lines))
+    return _parse_chunks(_glued(_chunks(lines)) if multiline else _chunks(lines), whole)
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
@@ -109,15 +110,31 @@ def require_entries(entries: DataFrame) -> DataFrame:
     return entries
 
 
-def parse_entries(lines: DataFrame) -> DataFrame:
+def parse_entries(lines: DataFrame, whole: bool = False) -> DataFrame:
     """``op_day, label, row_id, ts, offset_s, event, payload`` of each well-formed entry.
 
     ``lines`` has ``value, file_name, block, line``; here an entry ends with its line.
+    With ``whole`` there is also ``body``, the payload as a variant.
     """
-    return _parse_chunks(_chunks(lines))
+    return _parse_chunks(_chunks(lines), whole)
 
 
-def _parse_chunks(chunks: DataFrame) -> DataFrame:
+def payload_field(path: str, kind: str = "string", column: str = "body") -> Column:
+    """A field of ``body`` by its path (``$.data.route[0]``), as the named type.
+
+    For fields that no table is built from. A field that is missing, or whose value the type
+    cannot hold, is NULL; ``variant`` gives lists and objects as they are. A body that holds
+    one key twice is NULL as a whole.
+    """
+    return F.try_variant_get(column, path, kind)
+
+
+def message_field(path: str, kind: str = "string", column: str = "body") -> Column:
+    """A field of the JSON text that callbacks carry in ``data.message``."""
+    return F.try_variant_get(F.try_parse_json(payload_field("$.data.message", column=column)), path, kind)
+
+
+def _parse_chunks(chunks: DataFrame, whole: bool = False) -> DataFrame:
     """Text that is no entry and payloads that are no JSON object as a whole are dropped.
 
     A field is read on its own: one of another type is its JSON text, or NULL where a
@@ -136,6 +153,7 @@ def _parse_chunks(chunks: DataFrame) -> DataFrame:
         F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1
     )
     day = file_date(F.col("file_name"))
+    body = [F.try_parse_json(json).alias("body")] if whole else []
 
     def texts(name: str) -> Column:
         return F.from_json(name, "array<string>").alias(name.rsplit(".", 1)[-1])
@@ -154,6 +172,7 @@ def _parse_chunks(chunks: DataFrame) -> DataFrame:
             zone_offset(F.col("field")[0]).alias("offset_s"),
             F.col("field")[1].alias("event"),
             _parse_once(json, PAYLOAD).alias("outer"),
+            *body,
         )
         .where(F.col("outer").isNotNull())
         .select("*", _parse_once(F.coalesce("outer.data", F.lit("{}")), DATA).alias("inner"))
@@ -164,6 +183,7 @@ def _parse_chunks(chunks: DataFrame) -> DataFrame:
                 F.col("outer.fromLocationCode").alias("fromLocationCode"),
                 F.struct(*data, texts("inner.nextDestination")).alias("data"),
             ).alias("payload"),
+            *(["body"] if whole else []),
         )
     )
 
@@ -374,13 +394,14 @@ def log_tables(
 
 def ingest_log(
     spark: SparkSession, paths: str | Sequence[str], folder: str, overrides: DataFrame | None = None,
-    zone: str | None = None, multiline: bool = True,
+    zone: str | None = None, multiline: bool = True, whole: bool = False,
 ) -> Tables:
     """Parse a log once, write its canonical tables to ``folder`` and read them from there.
 
-    Raises if the log holds no readable entry.
+    The parsed entries stay in ``folder/entries``; with ``whole`` they keep every field of
+    their payloads. Raises if the log holds no readable entry.
     """
-    entries = read_event_log(spark, paths, multiline)
+    entries = read_event_log(spark, paths, multiline, whole)
     parsed = f"{folder}/entries"
     entries.write.parquet(parsed)
     kept = require_entries(spark.read.parquet(parsed))

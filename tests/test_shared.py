@@ -67,3 +67,15 @@ def test_a_subresult_is_built_once(stored):
     assert t.found("x") is None
     assert t.kept("x", build) is t.kept("x", build) is t.found("x") and built == [1]
     assert t.only(t.station_event.select("op_day").distinct()).found("x") is None
+
+
+def test_results_in_sql(spark, stored):
+    """Views equal their results, and a day asked for reaches the scan."""
+    t = stored()
+    assert registry.create_views(t, "cycle_summary", "retrieval_aisle", prefix="v_") == ["v_cycle_summary", "v_retrieval_aisle"]
+    day = t.lifecycle.agg(F.max("op_day")).first()[0]
+    asked = spark.sql("SELECT * FROM v_cycle_summary WHERE op_day = :day", args={"day": day})
+    whole = registry.RESULTS["cycle_summary"][1](t)
+    assert difference(asked.toPandas(), whole.where(F.col("op_day") == day).toPandas()) is None
+    scans = [x for x in plan(asked).split("\n") if "/lifecycle" in x]
+    assert scans and all("EqualTo(op_day," in x for x in scans)

@@ -66,6 +66,27 @@ def test_entries_of_a_split_day(spark, log_files):
     assert [(r["label"], r["files"]) for r in eventlog.log_days(entries).collect()] == [("2026-06-25", 2)]
 
 
+def test_fields_of_the_whole_payload(spark, tmp_path):
+    """Read by path after Parquet: nested ones, of a foreign type, missing ones, in a message."""
+    lines = [
+        change("ND1", 1, route=[{"hop": 3}, {"hop": "4"}], battery=81.5),
+        entry("2026-06-25T09:00:02", eventlog.BUSINESS_CHANGE, {"taskCode": "x", "data": {"message": json.dumps({"deep": {"n": 7}})}}),
+        entry("2026-06-25T09:00:03", eventlog.BUSINESS_CHANGE, {"battery": "low", "data": {"message": "{no json", "route": 5}}),
+    ]
+    (tmp_path / "flow-2026-06-25.log").write_text("\n".join(lines))
+    eventlog.read_event_log(spark, str(tmp_path), whole=True).write.parquet(str(tmp_path / "entries"))
+    entries = spark.read.parquet(str(tmp_path / "entries"))
+    rows = entries.orderBy("ts").select(
+        eventlog.payload_field("$.data.route[1].hop", "int").alias("hop"),
+        eventlog.payload_field("$.data.battery", "double").alias("battery"),
+        eventlog.payload_field("$.battery", "double").alias("word"),
+        eventlog.message_field("$.deep.n", "bigint").alias("n"),
+    ).collect()
+    assert [tuple(r) for r in rows] == [(4, 81.5, None, None), (None, None, None, 7), (None, None, None, None)]
+    # Without ``whole`` the entries are as they were.
+    assert "body" not in eventlog.read_event_log(spark, str(tmp_path / "flow-2026-06-25.log")).columns
+
+
 def test_station_events(spark, log_files):
     out = eventlog.build_station_event(eventlog.read_event_log(spark, log_files))
     rows = [(r["event_type"], r["location_code"], r["robot_id"], r["robot_type"]) for r in out.orderBy("row_id").collect()]
