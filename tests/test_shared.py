@@ -73,6 +73,7 @@ def test_results_in_sql(spark, stored):
     """Views equal their results, and a day asked for reaches the scan."""
     t = stored()
     assert registry.create_views(t, "cycle_summary", "retrieval_aisle", prefix="v_") == ["v_cycle_summary", "v_retrieval_aisle"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     day = t.lifecycle.agg(F.max("op_day")).first()[0]
     asked = spark.sql("SELECT * FROM v_cycle_summary WHERE op_day = :day", args={"day": day})
     whole = registry.RESULTS["cycle_summary"][1](t)
