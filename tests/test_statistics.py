@@ -7,6 +7,7 @@ from conftest import DAY, at
 from pyspark.sql import functions as F
 
 from stationflow.functions import stats
+from stationflow.operators import quantiles
 from stationflow.operators.quantiles import exact_quantiles
 from stationflow.plans import cycle, fleet, summary
 from stationflow.tables import Tables
@@ -22,7 +23,7 @@ def test_quantiles_equal_numpy(spark):
     ] + [("one", 2.5)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(4)
     named = {"lo": 0.0, "p10": 0.1, "med": 0.5, "p99": 0.99, "hi": 1.0}
-    for bucket in (1.0, 1000.0, 0.01):
+    for bucket in (1.0, 1000.0, 0.01, None):
         out = exact_quantiles(df, ["g"], "v", named, bucket, count="n", mean="m").collect()
         for r in out:
             v = np.array([x for g, x in rows if g == r["g"] and x is not None])
@@ -32,6 +33,16 @@ def test_quantiles_equal_numpy(spark):
     assert np.isclose(pooled[0]["med"], np.median([x for _, x in rows if x is not None]))
 
 
+def test_cuts_split_any_spread_evenly(spark):
+    """A narrow range far from 0, one value that half the rows have, and a long tail."""
+    n = 6400
+    near = spark.range(n).select(F.lit("near").alias("g"), (F.lit(1e6) + F.col("id") * 0.1 / n).alias("_value"))
+    tail = spark.range(n).select(F.lit("tail"), F.exp(F.col("id") * 40.0 / n))
+    counts = near.union(tail).withColumn("_n", F.lit(1)).union(spark.sql("SELECT 'tail', -5.0D, 6400"))
+    sizes = quantiles._between_cuts(counts, ["g"]).groupBy("g", "_bucket").count().collect()
+    assert len(sizes) > 2 * quantiles.CUTS and max(r["count"] for r in sizes) < 3 * n / quantiles.CUTS
+
+
 def test_weighted_quantiles(spark):
     df = spark.createDataFrame([(1.0, 5), (4.0, 2), (9.0, 1), (7.0, 0)], "v double, n long")
     r = exact_quantiles(df, [], "v", {"med": 0.5, "p80": 0.8}, count="c", mean="m", weight="n").first()
