@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.llm.common import bounded_batches, cut
-from stationflow.llm.tokens import encoder
+from stationflow.llm.tokens import MOST_KEPT, encoder
 
 CAPACITY = 2048
 OPEN_BINS = 16_384
@@ -73,9 +73,9 @@ def piece_starts(n: int, capacity: int) -> list[int]:
     return [0, *range(first, n, capacity)]
 
 
-def _cutter(path: str | None, capacity: int):
+def _cutter(path: str | None, capacity: int, most_kept: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder(path, most_kept)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(
@@ -112,12 +112,18 @@ def _packer(capacity: int, open_bins: int):
     return packed
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
+    most_kept: int = MOST_KEPT,
+) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``most_kept`` bounds the words a Python worker remembers (some 200 bytes each).
+    """
     bounded_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(read.mapInArrow(_cutter(tokenizer, capacity), schema))
+    pieces = cut(read.mapInArrow(_cutter(tokenizer, capacity, most_kept), schema))
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-tokens // (capacity * GROUP)))
     dealt = (

@@ -101,7 +101,7 @@ def op5_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(table(spark, folder, "documents"), most_kept=1_000_000)
 
 
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

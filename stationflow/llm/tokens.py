@@ -39,6 +39,8 @@ class Encoder:
     rank its merges, new words are merged by the faster library over the same vocabulary.
     """
 
+    most_kept = MOST_KEPT
+
     def __init__(self, path: str | None = None):
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(DEFAULT))
         self.tokenizer.encode_special_tokens = True
@@ -109,7 +111,7 @@ class Encoder:
         return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.bare) + len(self.spaced) > MOST_KEPT:
+        if len(self.bare) + len(self.spaced) > self.most_kept:
             self.bare.clear()
             self.spaced.clear()
         out: list[bytes | None] = [None] * len(texts)
@@ -139,9 +141,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, most_kept: int = MOST_KEPT) -> Encoder:
     """The encoder of this Python worker, which outlives a task when Spark reuses the worker."""
     held = sys.modules.setdefault("_stationflow_encoders", types.ModuleType("_stationflow_encoders")).__dict__
     if path not in held:
         held[path] = Encoder(path)
+    held[path].most_kept = most_kept
     return held[path]
