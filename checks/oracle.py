@@ -564,6 +564,13 @@ SQL: dict[str, tuple[str, str]] = {
     "w1_pick_pairs": (
         "op_day robot_id start_ts end_ts seconds:d location_code", "SELECT * FROM pick_all"
     ),
+    "w1_clustered_pairs": (
+        "op_day robot_id start_ts end_ts seconds:d location_code", "SELECT * FROM pick_all"
+    ),
+    "w3_clustered_pairs": (
+        "op_day robot_id start_ts end_ts seconds:d robot_type",
+        """SELECT *, date_diff('microsecond', start_ts, end_ts) / 1e6 AS seconds FROM dwell_all""",
+    ),
     "w2_switch_pairs": (
         "op_day location_code start_ts end_ts seconds:d", "SELECT * FROM switch_all"
     ),

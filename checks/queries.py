@@ -71,6 +71,17 @@ def _scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/checks-{tag}"
 
 
+def _on_clustered(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """On station events that were stored by robot, day and block of time."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        path = _scratch(spark)
+        name = path.rsplit("/", 1)[-1].replace("-", "_")
+        return tidy(fn(sinks.write_clustered(A.tables(spark, sf).station_event, name, path)))
+
+    return query
+
+
 def _read_log(spark: SparkSession, sf: str, multiline: bool) -> DataFrame:
     """Write the log lines as text files and read those."""
     path = _scratch(spark)
@@ -304,6 +315,8 @@ def queries() -> dict[str, Query]:
         # Pairs, slices and overlaps
         "w1_pick_pairs": _on_tables(lambda t: pick_pairs(t.station_event)),
         "w2_switch_pairs": _on_tables(lambda t: switch_pairs(t.station_event, "location_code")),
+        "w1_clustered_pairs": _on_clustered(pick_pairs),
+        "w3_clustered_pairs": _on_clustered(dwell_pairs),
         "w3_dwell_pairs": _on_tables(lambda t: dwell_pairs(t.station_event)),
         "j5_overlap_all_days": _on_events(_overlap_all),
         # Throughput

@@ -8,6 +8,9 @@ block rows of the key, and joined onto the block. The join needs no second excha
 of the rows: they are already dealt out by its keys.
 
 Rows with a NULL key take no part.
+
+A table that is stored by key and block (``sinks.write_clustered``) names its column of
+blocks: its rows are then read where they lie, with no exchange.
 """
 
 from __future__ import annotations
@@ -22,15 +25,29 @@ from stationflow.functions.times import floor_div, to_micros
 BLOCK_S = 600
 
 
-def _dealt(df: DataFrame, keys: Sequence[str], at: Column, block_s: int) -> DataFrame:
-    """The one exchange of the rows; its users read all its columns, so that they can share it."""
+def block_of(at: Column, block_s: int = BLOCK_S) -> Column:
+    """Number of the block that a time lies in."""
+    return floor_div(to_micros(at), block_s * 1_000_000)
+
+
+def _dealt(df: DataFrame, keys: Sequence[str], at: Column, block_s: int, stored: str | None = None) -> DataFrame:
+    """The one exchange of the rows; its users read all its columns, so that they can share it.
+
+    Rows that are ``stored`` by the blocks of this column need none.
+    """
     for key in keys:
         df = df.where(F.col(key).isNotNull())
+    if stored is not None:
+        return df.withColumnRenamed(stored, "_block")
     return df.withColumn("_block", floor_div(at, block_s * 1_000_000)).repartition(*keys, "_block")
 
 
-def _tails(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], *values: Column) -> DataFrame:
-    """One row per block, from the exchange of the rows."""
+def _tails(
+    rows: DataFrame, keys: Sequence[str], columns: Sequence[str], *values: Column, stored: str | None = None
+) -> DataFrame:
+    """One row per block, from the exchange of the rows, or from where they are stored."""
+    if stored is not None:
+        return rows.groupBy(*keys, "_block").agg(*values)
     # Reading every column keeps the exchange below equal to that of the rows themselves.
     everything = F.bit_xor(F.xxhash64(*columns)).alias("_all")
     tails = rows.groupBy(*keys, "_block").agg(*values, everything)
@@ -53,14 +70,15 @@ def previous_row(
     order: Sequence[str],
     values: Sequence[str],
     block_s: int = BLOCK_S,
+    stored: str | None = None,
 ) -> DataFrame:
     """Add ``prev`` = struct(values) of the row before, per ``keys`` in ``order``.
 
     The first order column is a timestamp and decides the block.
     """
-    rows = _dealt(df, keys, to_micros(F.col(order[0])), block_s)
+    rows = _dealt(df, keys, to_micros(F.col(order[0])), block_s, stored)
     last = F.max_by(F.struct(*values), F.struct(*order)).alias("_seed")
-    tails = _tails(rows, keys, rows.columns, last)
+    tails = _tails(rows, keys, rows.columns, last, stored=stored)
     seeds = tails.withColumn("_block", F.lead("_block").over(_by_block(keys))).where(F.col("_block").isNotNull())
     before = F.lag(F.struct(*values)).over(_in_block(keys, order))
     return (
@@ -78,13 +96,14 @@ def run_before(
     kind: str,
     values: Sequence[str],
     block_s: int = BLOCK_S,
+    stored: str | None = None,
 ) -> DataFrame:
     """Add ``prev`` = struct(values) of the first row of the run that the row before belongs to.
 
     A run is a stretch of rows of one ``kind`` per ``keys`` in ``order``; ``values``
     include ``kind``. The first order column is a timestamp and decides the block.
     """
-    rows = _dealt(df, keys, to_micros(F.col(order[0])), block_s)
+    rows = _dealt(df, keys, to_micros(F.col(order[0])), block_s, stored)
     window = _in_block(keys, order)
     old = F.lag(kind).over(window)
     # The first row of a block starts a run until the block before is known.
@@ -94,6 +113,7 @@ def run_before(
     tails = _tails(
         marked, keys, rows.columns,
         F.max_by("_start", F.when(started, F.struct(*order))).alias("_seed"), F.count("_start").alias("_runs"),
+        stored=stored,
     )
     blocks = _by_block(keys)
     goes_on = (F.col("_runs") == 1) & (F.lag(F.col("_seed")[kind]).over(blocks) == F.col("_seed")[kind])

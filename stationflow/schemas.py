@@ -121,4 +121,7 @@ HOUR_S = 3600.0
 # ---------------------------------------------------------------------------
 
 # Folder of each canonical table.
+# Events stored for pairing lie together by robot, day and this column: the block of their time.
+ROBOT_DAY = ("op_day", "robot_id")
+TS_BLOCK = "ts_block"
 RAW_NAMES = {"callback": "cb_raw", "station_event": "st_raw", "lifecycle": "lc_raw", "stage": "sg_raw"}

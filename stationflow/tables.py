@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from stationflow import schemas as S
 from stationflow.operators.stations import (
     build_station_dim,
     completions,
@@ -87,7 +88,8 @@ class Tables:
 
     def share_events(self) -> DataFrame:
         """Located station events with ``delivers``; from now on all results start from them."""
-        rows = with_delivers(self.station_event, self.day_types)
+        # The shared table is not stored by blocks any more.
+        rows = with_delivers(self.station_event.drop(S.TS_BLOCK), self.day_types)
         return self.kept("events", lambda: with_station(rows, self.stations))
 
     def events(self) -> DataFrame:

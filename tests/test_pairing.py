@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stationflow.operators.overlap import overlap_count
 from stationflow.operators.pairing import dwell_pairs, pair_events, pick_pairs, switch_pairs
 from stationflow.plans import dwell, switch, throughput
+from stationflow.sources.sinks import write_clustered
+from stationflow.tables import Tables
 
 
 def spans(df):
@@ -150,3 +152,51 @@ def test_runs_over_many_blocks(make_events):
          ("09:00:00", "release", 1, "r"), ("09:30:00", "release", 1, "r"), ("12:00:00", "arrived", 1, "r"), ("15:00:00", "release", 1, "r")]
     )
     assert spans(dwell_pairs(ev)) == [("00:00:02", "09:00:00"), ("12:00:00", "15:00:00")]
+
+
+def _clustered(spark, tmp_path, events, buckets=4):
+    name = f"stored_{abs(hash(str(tmp_path)))}"
+    return write_clustered(events, name, f"{tmp_path}/clustered", buckets)
+
+
+def test_stored_events_pair_where_they_lie(spark, tmp_path, make_events):
+    """Same pairs as from the plain table; only the block tails are dealt out."""
+    rng = random.Random(5)
+    kinds = ["arrived", "triggerGo", "release"]
+    rows = [(at("00:00:00") + timedelta(seconds=rng.randrange(86_000)), rng.choice(kinds), rng.randrange(3), rng.choice(["busy", "busy", "r", None]))
+            for _ in range(3000)]
+    plain = make_events(rows)
+    stored = _clustered(spark, tmp_path, plain)
+    for pairs in (pick_pairs, dwell_pairs):
+        assert sorted(map(str, pairs(stored).collect())) == sorted(map(str, pairs(plain).collect()))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = pairs(stored)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert len(moved) == 1 and "event_type" not in moved[0] and "REPARTITION" not in plan, plan
+        # A robot with most of the rows lies in every bucket.
+    assert stored.where("robot_id = 'busy'").select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_stored_events_without_times_or_robots(spark, tmp_path, make_events):
+    """They are kept, spread over the buckets, and pair with nothing."""
+    rows = [("00:00:01", "arrived", 1, None), ("00:00:03", "triggerGo", 1, None), ("00:00:04", "arrived", 1, "r")]
+    timeless = make_events(rows * 40).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    stored = _clustered(spark, tmp_path, make_events(rows).unionByName(timeless))
+    assert stored.count() == 123 and pick_pairs(stored).count() == 0
+    assert stored.where("ts IS NULL").select(F.spark_partition_id()).distinct().count() == 4
+    empty = write_clustered(timeless.limit(0), "stored_empty", f"{tmp_path}/empty", 2)
+    assert pick_pairs(empty).count() == 0 and dwell_pairs(empty).count() == 0
+
+
+def test_results_of_stored_events(spark, tmp_path, make_events):
+    """A result over tables with stored events equals that over plain ones, shared or alone."""
+    rows = [(at("08:00:00") + timedelta(seconds=50 * i), ("arrived", "triggerGo", "release")[i % 3], i % 2 + 1, "ab"[i % 5 > 2]) for i in range(400)]
+    plain = make_events(rows)
+    stored = _clustered(spark, tmp_path, plain)
+    want = sorted(map(str, dwell.pick_intervals(Tables(plain, given_type="AMR")).collect()))
+    t = Tables(stored, given_type="AMR")
+    assert sorted(map(str, dwell.pick_intervals(t).select(dwell.pick_intervals(Tables(plain, given_type="AMR")).columns).collect())) == want
+    assert "ts_block" not in t.share_events().columns
