@@ -48,6 +48,7 @@ MESSAGE = """
 # ---------------------------------------------------------------------------
 
 MARK = "\u0001"
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 STARTS = r"^\[\d{4}-\d{2}-\d{2}T"
 
 
@@ -148,10 +149,6 @@ def _parse_chunks(chunks: DataFrame, whole: bool = False) -> DataFrame:
         F.explode(F.array(F.split(marked, MARK, 3))).alias("field"),
     ).where(F.size("field") == 3)
     json = F.trim(F.col("field")[2], F.lit(" \t\r\n"))
-    # One whole value, and an object: text before or after it makes the list unreadable or longer.
-    alone = json.startswith("{") & (
-        F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1
-    )
     day = file_date(F.col("file_name"))
     body = [F.try_parse_json(json).alias("body")] if whole else []
 
@@ -163,18 +160,16 @@ def _parse_chunks(chunks: DataFrame, whole: bool = False) -> DataFrame:
         "assignedTime", "loadTime", "unloadTime", "completedTime",
     )]
     return (
-        found.where(alone)
-        .select(
+        found.select(
             day.alias("_day"),
             F.coalesce(day.cast("string"), "file_name").alias("label"),
             F.struct(F.col("file_name").alias("file"), "block", "line", "part").alias("row_id"),
             parse_iso(F.col("field")[0]).alias("ts"),
             zone_offset(F.col("field")[0]).alias("offset_s"),
             F.col("field")[1].alias("event"),
-            _parse_once(json, PAYLOAD).alias("outer"),
+            _whole_object(json, PAYLOAD).alias("outer"),
             *body,
         )
-        .where(F.col("outer").isNotNull())
         .select("*", _parse_once(F.coalesce("outer.data", F.lit("{}")), DATA).alias("inner"))
         .select(
             F.coalesce("_day", F.to_date("ts")).alias("op_day"), "label", "row_id", "ts", "offset_s", "event",
@@ -193,6 +188,22 @@ def _parse_once(text: Column, schema: str) -> Column:
     return F.explode(F.array(F.from_json(text, schema)))
 
 
+def _whole_object(text: Column, schema: str) -> Column:
+    """Parsed text that is one JSON object as a whole; a generator, so that other text gives no row.
+
+    The text is parsed once, as the only element of a list: text before or after it makes the
+    list unreadable or longer, and so do single quotes and bare control characters. A filter
+    on other columns, as on the event, comes first.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{_fields(schema)}>>", STRICT)
+    alone = F.filter(F.array(F.when(text.startswith("{"), listed)), lambda x: F.size(x) == 1)
+    return F.explode(F.flatten(alone))
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (c.split() for c in schema.split(",")))
+
+
 def _ordinal(row_id: Column, part: Column | int) -> Column:
     """``row_id`` for the n-th row made from one entry."""
     n = F.lit(part) if isinstance(part, int) else part

@@ -362,3 +362,24 @@ def test_peak_day_dates_tasks_by_creation(spark, make_tables, make_callback, mak
     assert kept.station_event.count() == 1 and kept.callback.count() == 2
     alone = make_tables(rows)
     assert days.keep_peak_day(alone) is alone
+
+
+def test_only_whole_objects_are_payloads(spark):
+    """Text around an object, a second value, and what JSON does not allow make no entry."""
+    good = ["{}", '{"taskCode":["ND1"]}  ', '{"data":5}', '{"taskCode":null,"containerCode":[1,"x",null]}', '{"a":"' + "y" * 50_000 + '"}']
+    bad = ["", "5", "null", "{},", '{"a":1} x', 'x {"a":1}', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1,}', '[{"a":1}]', '{"a":1', "{'a':1}", '{"a":NaN}', '{"a":"\x01"}']
+    rows = [(f"[2026-06-25T08:00:00.000+08:00][1][a][e][C][EV{i}] - {body}", "f.log", 0, i) for i, body in enumerate(good + bad)]
+    lines = spark.createDataFrame(rows, "value string, file_name string, block bigint, line bigint")
+    found = eventlog.parse_entries(lines).select("event", "payload.containerCode").collect()
+    assert sorted(r["event"] for r in found) == [f"EV{i}" for i in range(len(good))]
+    assert [r["containerCode"] for r in found if r["event"] == "EV3"] == [["1", "x", None]]
+
+
+def test_payloads_of_other_events_are_not_parsed(spark):
+    """A filter on the event stands below the parsing of payloads."""
+    lines = spark.createDataFrame([("x", "f.log", 0, 0)], "value string, file_name string, block bigint, line bigint")
+    plan = eventlog.build_lifecycle(eventlog.parse_entries(lines))._jdf.queryExecution().optimizedPlan().toString()
+    steps = [x for x in plan.split("\n") if "Filter" in x or "Generate" in x]
+    event = next(i for i, x in enumerate(steps) if "Filter" in x and eventlog.BUSINESS_CHANGE in x)
+    parsed = [i for i, x in enumerate(steps) if "from_json" in x]
+    assert parsed and max(parsed) < event and "from_json" not in steps[event]
