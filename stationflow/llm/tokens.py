@@ -16,8 +16,9 @@ DEFAULT = "byte_bpe_50k.json"
 # Words held per Python worker, some 200 bytes each: 80 MB.
 MOST_KEPT = 400_000
 TOGETHER = 256
-# White space other than single spaces and line feeds inside the text.
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+# White space other than spaces and line feeds, as one set of characters: searched several times faster than `[^\S \n]`.
+_OTHER_SPACE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
 # Bytes that byte-level vocabularies write as themselves. Fixed values.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_OF = {chr(b): b for b in _PRINTED} | {
@@ -26,6 +27,11 @@ _BYTE_OF = {chr(b): b for b in _PRINTED} | {
 _MARKS = ".,!?;:%*$&|#)"
 
 
+def plain_spaces(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds inside the text."""
+    return not (text.startswith((" ", "\n")) or text.endswith((" ", "\n")) or any(p in text for p in _PAIRS) or _OTHER_SPACE.search(text))
+
+
 class Encoder:
     """``ids(texts)``: for each text its ids as little-endian unsigned 32-bit bytes.
 
@@ -115,29 +121,32 @@ class Encoder:
             self.bare.clear()
             self.spaced.clear()
         out: list[bytes | None] = [None] * len(texts)
-        held: dict[int, list[tuple[list[str], list]]] = {}
+        held: dict[int, list[list]] = {}
+        gaps: list[tuple[list[str], list, list[int]]] = []
         bare: set[str] = set()
         spaced: set[str] = set()
         for k, text in enumerate(texts):
             text = text or ""
-            if not text or not self.by_word or _OTHER_SPACE.search(text):
+            if not text or not self.by_word or not plain_spaces(text):
                 out[k] = self._whole(text)
                 continue
-            held[k] = self._lines(text)
-            for words, ids in held[k]:
+            lines = self._lines(text)
+            held[k] = [ids for _, ids in lines]
+            for words, ids in lines:
                 if None in ids:
-                    if ids[0] is None:
+                    new = [i for i, v in enumerate(ids) if v is None]
+                    gaps.append((words, ids, new))
+                    if new[0] == 0:
                         bare.add(words[0])
-                    spaced.update([w for w, v in zip(words[1:], ids[1:], strict=True) if v is None])
+                    spaced.update([words[i] for i in new if i])
         self._learn(self.bare, "", bare)
         self._learn(self.spaced, " ", spaced)
+        # Only the words that were new are looked up again.
+        for words, ids, new in gaps:
+            for i in new:
+                ids[i] = (self.spaced if i else self.bare)[words[i]]
         for k, lines in held.items():
-            parts = []
-            for words, ids in lines:
-                if None in ids:
-                    ids = [self.bare[words[0]], *map(self.spaced.__getitem__, words[1:])]
-                parts.append(b"".join(ids))
-            out[k] = self.line.join(parts)
+            out[k] = self.line.join([b"".join(ids) for ids in lines])
         return out
 
 

@@ -1,6 +1,7 @@
 """Operators on documents: defined results for odd rows, and brute force on made-up texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 from stationflow.llm import (
     components, license_digest, license_texts, mixing, packing, pii, prefix_join, quality_ledger, suffix_dedup,
-    suffix_sort, token_spans,
+    suffix_sort, token_spans, tokens,
 )
 from stationflow.llm.tokens import Encoder
 
@@ -319,6 +320,34 @@ def test_token_spans(hard, none, docs_of, spark):
     assert token_spans.tokens_by_line(none).count() == 0
 
 
+def test_white_space_that_words_need():
+    """The set of characters is Python's white space, and pairs and ends count as before."""
+    plain = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+    for c in map(chr, range(0x110000)):
+        assert tokens.plain_spaces(f"a{c}b") == (c in " \n" or not c.isspace())
+    for text in map("".join, itertools.product("a \n\t", repeat=4)):
+        assert tokens.plain_spaces(text) == (not plain.search(text))
+
+
+def test_known_words_are_looked_up_once():
+    """A line with one new word looks only that word up again."""
+
+    class Counted(dict):
+        again = 0
+
+        def __getitem__(self, word):
+            self.again += 1
+            return super().__getitem__(word)
+
+    encoder = Encoder()
+    known = "the cat sat on a mat\nand the cat sat"
+    first = encoder.ids([known])
+    encoder.spaced = Counted(encoder.spaced)
+    assert encoder.ids([known]) == first and encoder.spaced.again == 0
+    text = known + " zyqxlo on a mat"
+    assert encoder.ids([text]) == [encoder._whole(text)] and encoder.spaced.again == 1
+
+
 def test_tokens_of_split_characters(docs_of, spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["안녕하세요 세계", "日本語", "🙂🙃", "日本\n語 한국어\n🙂 plain é\n", "漢字\n漢字"]
