@@ -30,8 +30,11 @@ from stationflow.session import BROADCAST_ROWS, settle
 
 WINDOW = 10
 # A-Z are word characters before lower-casing. Fixed values.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Separators stand one by one: the regular expression engine then looks a character up in
+# one bit set, where ranges are tried one after the other.
+_SEPARATORS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+WORD = f"[^{_SEPARATORS}]+"
+BETWEEN = f"[{_SEPARATORS}]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -87,3 +87,12 @@ def test_removal(docs_of, items_of):
     assert {r.doc_id for r in left.collect()} == {3, 4} and left.columns == docs.columns
     with pytest.raises(ValueError):
         decontamination.decontaminate(docs, items, remove="all")
+
+
+def test_word_pattern_is_one_set(spark):
+    """Separators stand one by one (ranges cost several times as much) and cut as the ranges do."""
+    assert "-" not in decontamination.WORD + decontamination.BETWEEN
+    texts = ["".join(map(chr, range(lo, lo + 512))) for lo in (*range(0, 0xD800, 512), 0x1F400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in docs.select("text", decontamination.normal_words("text").alias("w")).collect():
+        assert r.w == re.findall(WORD, folded(r.text))
