@@ -128,11 +128,13 @@ def _ingested(spark: SparkSession, sf: str) -> DataFrame:
     The files have no date in their names, so a day is that of its file's first entry.
     """
     files, folder = _scratch(spark), _scratch(spark)
-    lines = A.log_lines(A.events(spark, sf)).withColumn("day", F.regexp_extract("file_name", eventlog.FILE_DATE, 1))
-    one_a_day = lines.repartition("day").sortWithinPartitions("day", "line").select("value", "day")
-    early = F.col("day") < lines.agg(F.date_format(F.date_add(F.min(F.to_date("day")), 3), "yyyy-MM-dd")).scalar()
+    # Short events are dealt by day, and their long lines made after that.
+    ev = A.events(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "op_day")
+    early = F.col("op_day") < ev.agg(F.date_add(F.min("op_day"), 3)).scalar()
     for part in (early, ~early):
-        one_a_day.where(part).write.mode("append").partitionBy("day").text(files)
+        lines = A.log_lines(ev.where(part)).withColumn("day", F.regexp_extract("file_name", eventlog.FILE_DATE, 1))
+        one_a_day = lines.sortWithinPartitions("day", "line").select("value", "day")
+        one_a_day.write.mode("append").partitionBy("day").text(files)
         eventlog.ingest_new(spark, files, folder, multiline=False)
     return eventlog.ingest_new(spark, files, folder, multiline=False).station_event.drop("op_day", "row_id", "load")
 

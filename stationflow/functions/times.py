@@ -46,9 +46,9 @@ def parse_iso(text: Column) -> Column:
 
 def zone_offset(text: Column) -> Column:
     """Seconds that the zone suffix of a log time is ahead of UTC; 0 without one."""
-    sign = F.when(F.regexp_extract(text, r"([+-])\d{2}:\d{2}\s*$", 1) == "-", -1).otherwise(1)
-    hours = F.regexp_extract(text, r"[+-](\d{2}):\d{2}\s*$", 1).try_cast("int")
-    minutes = F.regexp_extract(text, r"[+-]\d{2}:(\d{2})\s*$", 1).try_cast("int")
+    zone = F.regexp_extract(text, r"([+-]\d{2}:\d{2})\s*$", 1)
+    sign = F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1)
+    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
     return F.coalesce(sign * (hours * 3600 + minutes * 60), F.lit(0))
 
 

@@ -8,6 +8,7 @@ known without a global sort. Rows made from an entry add their ``kind`` to it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from stationflow.tables import Tables
 # ---------------------------------------------------------------------------
 # The log format, its event names and its JSON fields.
 ENTRY_START = r"(?=\[\d{4}-\d{2}-\d{2}T)"
+# Text with no entry start after its first character; possessive, so one run over the text decides.
+ONE_CHUNK = r"(?s)^.[^\[]*+(?:\[(?!\d{4}-\d{2}-\d{2}T)[^\[]*+)*+\z"
 ENTRY = r"(?s)^\s*\[([^\]]+)\]\[\d+\]\[[^\]]+\]\[[^\]]+\]\[[^\]]+\]\[([^\]]+)\]\s*-\s*(.+)"
 FILE_DATE = r"(\d{4}-\d{2}-\d{2})"
 CALLBACK_SENT = "TASK_EXECUTION_CALLBACK_SENT"
@@ -76,10 +79,9 @@ def read_event_log(
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
-    """Lines cut where an entry starts."""
-    return lines.select(
-        "file_name", "block", "line", F.posexplode(F.split("value", ENTRY_START)).alias("part", "chunk")
-    )
+    """Lines cut where an entry starts; most hold one entry and need no cut."""
+    parts = F.when(F.col("value").rlike(ONE_CHUNK), F.array("value")).otherwise(F.split("value", ENTRY_START))
+    return lines.select("file_name", "block", "line", F.posexplode(parts).alias("part", "chunk"))
 
 
 def _glued(chunks: DataFrame) -> DataFrame:
@@ -403,6 +405,12 @@ def log_tables(
     )
 
 
+def _folded_once(t: Tables) -> Tables:
+    """The tasks are folded once, for their own table and for the stages."""
+    tasks = written(t.lifecycle)
+    return replace(t, lifecycle=tasks, stage=log_stages(tasks))
+
+
 def ingest_log(
     spark: SparkSession, paths: str | Sequence[str], folder: str, overrides: DataFrame | None = None,
     zone: str | None = None, multiline: bool = True, whole: bool = False,
@@ -416,7 +424,7 @@ def ingest_log(
     parsed = f"{folder}/entries"
     entries.write.parquet(parsed)
     kept = require_entries(spark.read.parquet(parsed))
-    write_raw(log_tables(kept, zone=zone), folder, by_day=False)
+    write_raw(_folded_once(log_tables(kept, zone=zone)), folder, by_day=False)
     return read_canonical(spark, folder, overrides)
 
 
@@ -454,7 +462,7 @@ def ingest_new(
     if wanted:
         # The entries are parsed once and read by all builders.
         entries = require_entries(written(read_event_log(spark, wanted, multiline)))
-        t = log_tables(entries, zone=zone)
+        t = _folded_once(log_tables(entries, zone=zone))
         for name, out in S.RAW_NAMES.items():
             _replace_loads(getattr(t, name).withColumn("load", _load_of(F.col("row_id.file"))), f"{folder}/{out}")
         _replace_loads(todo, f"{folder}/{MANIFEST}")

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from conftest import at
@@ -383,3 +385,33 @@ def test_payloads_of_other_events_are_not_parsed(spark):
     event = next(i for i, x in enumerate(steps) if "Filter" in x and eventlog.BUSINESS_CHANGE in x)
     parsed = [i for i, x in enumerate(steps) if "from_json" in x]
     assert parsed and max(parsed) < event and "from_json" not in steps[event]
+
+
+def test_tasks_are_folded_once(spark, tmp_path, monkeypatch):
+    """An ingest writes the tasks and their stages from one fold."""
+    (tmp_path / "logs").mkdir()
+    _touch(tmp_path / "logs" / "a-2026-06-25.log", [sent("2026-06-25T08:00:00", REACH, AT_1, taskCode=["ND1"])])
+    plans = {}
+    replace = eventlog._replace_loads
+
+    def noted(df, path):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().optimizedPlan().toString()
+        replace(df, path)
+
+    monkeypatch.setattr(eventlog, "_replace_loads", noted)
+    eventlog.ingest_new(spark, str(tmp_path / "logs"), str(tmp_path / "canonical"))
+    assert len(plans) == 5 and not [n for n in ("lc_raw", "sg_raw") if "Aggregate" in plans[n]]
+
+
+def test_lines_are_cut_where_entries_start(spark):
+    """Most lines are found whole in one run; all are cut as the starts say, long ones too."""
+    rnd = random.Random(2)
+    bits = ["[2024-01-01T", "[", "2024", "x\n", "[2024-01-01", "é", "T"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 7))) for _ in range(300)] + ["[a" * 100_000, "[2024-01-01T" * 500]
+    lines = spark.createDataFrame([(t, "f", 0, i) for i, t in enumerate(texts)], "value string, file_name string, block bigint, line bigint")
+    got = {}
+    for r in eventlog._chunks(lines).orderBy("line", "part").collect():
+        got.setdefault(r["line"], []).append(r["chunk"])
+    assert all(got[i] == re.split(r"(?!^)(?=\[\d{4}-\d{2}-\d{2}T)", t) for i, t in enumerate(texts))
+    one = {r["line"] for r in lines.where(F.col("value").rlike(eventlog.ONE_CHUNK)).collect()}
+    assert one == {i for i, t in enumerate(texts) if t and len(got[i]) == 1}
