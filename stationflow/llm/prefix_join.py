@@ -1,10 +1,11 @@
 """N-gram Jaccard join by grouped prefixes (documents with equal prefix and size join as one).
 
 1. Every text becomes the set of its 5-word shingles, as 64-bit hashes.
-2. A first pass counts shingles in ``2 ** SKETCH_BITS`` buckets (4 MB, whatever the
-   input). The order of all shingles is (bucket count, hash): rare ones first. Any
-   order gives right results; this one keeps passages that many documents share out
-   of the prefixes.
+2. A first pass counts shingles in buckets, some ``SKETCH_LOAD`` bytes of text to each and
+   at most ``2 ** SKETCH_MOST`` (one byte each: the logarithm of the count). The order of
+   all shingles is (bucket count, hash): rare ones first. Any order gives right results;
+   this one keeps passages that many documents share out of the prefixes, as long as their
+   counts stand out from those of full buckets.
 3. Two sets with Jaccard similarity of ``percent`` share one of their first
    ``n - ceil(percent * n / 100) + 1`` shingles. Equal sets are one class, classes of
    equal size and prefix one group; only groups are posted under their prefix
@@ -12,13 +13,15 @@
 4. Short posting lists give group pairs, filtered by size and by the place of the
    shared shingle, then expanded to classes and verified on the whole sets. Long
    lists (large groups of near copies) give no pairs: the groups that share them form
-   a cluster, whose sets meet in blocks of bounded size; a task compares a block pair
-   until its documents fall into final parts, and emits a spanning set of links.
+   a cluster. A cluster of more than one block falls into bands of sizes, of which only
+   neighbours can link; the sets of two neighbours meet in blocks of bounded size. A task
+   compares a block pair until its documents fall into final parts, by prefixes in the
+   order of the block pair's own counts, and emits a spanning set of links.
 5. Links become components (``components.py``).
 
 Nothing is capped: list length only chooses between pairs and blocks. Only the bucket
 counts and a bitmap of at most ``2 ** BITMAP_BITS`` bits of candidate ids reach the
-driver; both have a fixed size.
+driver; both are bounded (64 MB and 4 MB).
 
 Defined results: NULL or empty texts have no shingles and link with nothing; a text
 of 1 to 4 words is one shingle; repeated rows are kept, rows of one doc_id are one
@@ -28,6 +31,7 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +45,10 @@ from stationflow.llm.components import components
 
 SHINGLE = 5
 SKETCH_BITS = 20
+SKETCH_MOST = 26
+SKETCH_LOAD = 400
 SKETCH_PARTS = 64
+SKETCH_FLUSH = 1 << 22
 BITMAP_BITS = 25
 SHORT_LIST = 64
 GROUP_PAIRS = 8
@@ -77,41 +84,79 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
     return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    shift = np.uint64(64 - SKETCH_BITS)
-    for batch in batches:
-        for _, text in _texts(batch):
-            np.add.at(counts, (shingle_set(text) >> shift).astype(np.int64), 1)
-    if counts.any():
-        parts = np.split(counts, SKETCH_PARTS)
-        yield pa.record_batch(
-            {"part": pa.array(range(SKETCH_PARTS), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())}
-        )
+def sketch_bits(n_bytes: int) -> int:
+    """Bits of a bucket number for so many bytes of text."""
+    return min(SKETCH_MOST, max(SKETCH_BITS, (n_bytes // SKETCH_LOAD).bit_length()))
 
 
-def _add_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in _texts(batch):
-            got = np.frombuffer(counts, np.uint32).astype(np.uint64)
-            sums[part] = sums[part] + got if part in sums else got
-    yield pa.record_batch(
-        {"part": pa.array(list(sums), pa.int32()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())}
-    )
+def coded(steps: np.ndarray) -> bytes:
+    """Steps between ordered numbers: a byte 255 for every 255, then what is left."""
+    whole = steps // 255
+    out = np.full(len(steps) + int(whole.sum()), 255, np.uint8)
+    out[np.cumsum(whole + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    """The ordered numbers of ``coded`` steps."""
+    steps = np.frombuffer(data, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
+
+def _bucket_counter(bits: int):
+    """Ordered bucket numbers, repeats included, as steps: about a byte each."""
+    starts = np.arange(SKETCH_PARTS + 1, dtype=np.int64) * ((1 << bits) // SKETCH_PARTS)
+
+    def parts(kept: list[np.ndarray]) -> pa.RecordBatch:
+        buckets = np.sort(np.concatenate(kept)).astype(np.int64)
+        at = np.searchsorted(buckets, starts)
+        filled = np.flatnonzero(np.diff(at))
+        data = [coded(np.diff(buckets[at[p] : at[p + 1]], prepend=starts[p])) for p in filled]
+        return pa.record_batch({"part": pa.array(filled, pa.int32()), "counts": pa.array(data, pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for batch in batches:
+            for _, text in _texts(batch):
+                kept.append((shingle_set(text) >> np.uint64(64 - bits)).astype(np.uint32))
+                held += len(kept[-1])
+                if held >= SKETCH_FLUSH:
+                    yield parts(kept)
+                    kept, held = [], 0
+        if held:
+            yield parts(kept)
+
+    return count
+
+
+def _bucket_adder(bits: int):
+    """Sums as bytes: eight steps for every doubling of the count."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in _texts(batch):
+                if part not in sums:
+                    sums[part] = np.zeros((1 << bits) // SKETCH_PARTS, np.int64)
+                np.add.at(sums[part], decoded(data), 1)
+        levels = [np.minimum(8 * np.log2(np.maximum(v, 1)), 255).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.record_batch({"part": pa.array(list(sums), pa.int32()), "counts": pa.array(levels, pa.binary())})
+
+    return add
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles (once per document) fall into each of the fixed buckets."""
+    """How many shingles (once per document) fall into each bucket, as ``8 * log2`` in a byte."""
     schema = "part int, counts binary"
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     rows = (
-        docs.mapInArrow(_count_buckets, schema).repartition(SKETCH_PARTS, "part").mapInArrow(_add_buckets, schema).collect()
+        docs.mapInArrow(_bucket_counter(bits), schema).repartition(SKETCH_PARTS, "part")
+        .mapInArrow(_bucket_adder(bits), schema).collect()
     )
-    counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint64)
+    counts = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint8)
     for row in rows:
-        counts[row.part] = np.frombuffer(row.counts, np.uint64)
-    # The order of the counts is all that is used, so ranks of log counts would do as well.
-    return np.minimum(counts.reshape(-1), np.uint64(2**32 - 1)).astype(np.uint32)
+        counts[row.part] = np.frombuffer(row.counts, np.uint8)
+    return counts.reshape(-1)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -120,7 +165,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _profiler(counts, percent: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, shift = counts.value, np.uint64(64 - SKETCH_BITS)
+        count = counts.value
+        shift = np.uint64(64 - (len(count).bit_length() - 1))
         for batch in batches:
             ids, sizes, digests, keys, prefixes = [], [], [], [], []
             for doc_id, text in _texts(batch):
@@ -193,14 +239,27 @@ def _set_maker(bitmap):
 def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning set of the links among these shingle sets.
 
-    A set outside the largest part so far is compared with all others at once; sets in
-    the largest part need not be compared with each other.
+    A set outside the largest part so far is compared with all others that share a shingle
+    of its prefix, in the order of the counts here; sets in the largest part need not be
+    compared with each other.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    flag = np.zeros(ids.max() + 1, np.int64)
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    # Each set's shingles, rare ones first.
+    owner = np.repeat(np.arange(m), sizes)
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, owner))]
+    firsts = sizes - -(-percent * sizes // 100) + 1
+    in_prefix = np.arange(len(ids)) - starts[owner] < firsts[owner]
+    token, member = ids[in_prefix], owner[in_prefix]
+    by_token = np.argsort(token, kind="stable")
+    lists = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(counts)))))
+    member = member[by_token]
+    flag = np.zeros(len(counts), np.int64)
     part, done, links = np.arange(m), np.zeros(m, bool), []
     while True:
         largest = np.bincount(part).argmax()
@@ -210,11 +269,19 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         x = todo[len(todo) // 2]
         done[x] = True
         own = ids[starts[x] : starts[x] + sizes[x]]
+        near = np.zeros(m, bool)
+        for t in own[: firsts[x]]:
+            near[member[lists[t] : lists[t + 1]]] = True
+        near &= (part != part[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+        other = np.flatnonzero(near)
+        if len(other) == 0:
+            continue
+        ends = np.cumsum(sizes[other])
+        at = np.arange(ends[-1]) + np.repeat(starts[other] - (ends - sizes[other]), sizes[other])
         flag[own] = 1
-        shared = np.add.reduceat(flag[ids], starts)
+        shared = np.add.reduceat(flag[ids[at]], ends - sizes[other])
         flag[own] = 0
-        linked = np.flatnonzero(100 * shared >= percent * (sizes + sizes[x] - shared))
-        for y in linked:
+        for y in other[100 * shared >= percent * (sizes[other] + sizes[x] - shared)]:
             if part[y] != part[x]:
                 links.append((int(x), int(y)))
                 part[part == part[y]] = part[x]
@@ -311,20 +378,31 @@ def join_classes(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
         .where(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * percent)
         .select("a", "b")
     )
-    blocks = in_cluster.groupBy("component").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES)
-        ).cast("int").alias("blocks")
+    size = F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES)
+    ).cast("int").alias("blocks")
+    # A unit holds a band of sizes and the next: sets of a link are in the same band or neighbours.
+    step = math.log(max(100 / percent, 1.0001)) * (1 + 1e-9)
+    large = in_cluster.groupBy("component").agg(size).where("blocks > 1").select("component", F.lit(True).alias("large"))
+    banded = (
+        in_cluster.join(large, "component", "left")
+        .withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / F.lit(step))).otherwise(F.lit(0)).cast("int"))
+        .withColumn("unit", F.explode(F.when(F.col("large"), F.array(F.col("band") - 1, "band")).otherwise(F.array("band"))))
+    )
+    # Without rows of its own band, a unit's other band is in the next unit whole.
+    units = (
+        banded.groupBy("component", "unit").agg(size, F.max(F.col("band") == F.col("unit")).alias("own"))
+        .where("own").drop("own")
     )
     placed = (
-        in_cluster.join(blocks, "component")
+        banded.join(units, ["component", "unit"])
         .withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("id", "component", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     block_links = (
         sets.join(placed, "id")
-        .groupBy("component", "i", "j")
+        .groupBy("component", "unit", "i", "j")
         .applyInPandas(_block_links(percent), "a long, b long")
     )
     by_class = some.select("doc_id", "n", "digest").join(classes.select("n", "digest", "id"), ["n", "digest"])
